@@ -7,6 +7,8 @@ from importlib import import_module
 
 #: query: (module, function); modules are imported when a query is first called for.
 QUERIES = {
+    "op2_token_records": ("records", "op2"),
+    "op7_cost_balanced_packing": ("packing", "op7"),
     "op8_benchmark_decontamination": ("decontaminate", "op8"),
 }
 
