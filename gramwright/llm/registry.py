@@ -7,6 +7,7 @@ from importlib import import_module
 
 #: query: (module, function); modules are imported when a query is first called for.
 QUERIES = {
+    "op4_personal_data": ("pii", "op4"),
     "op5_toxicity": ("toxicity", "op5"),
     "op2_token_records": ("records", "op2"),
     "op7_cost_balanced_packing": ("packing", "op7"),
