@@ -7,6 +7,7 @@ from importlib import import_module
 
 #: query: (module, function); modules are imported when a query is first called for.
 QUERIES = {
+    "op10_line_dedup": ("line_dedup", "op10"),
     "op4_personal_data": ("pii", "op4"),
     "op5_toxicity": ("toxicity", "op5"),
     "op2_token_records": ("records", "op2"),
@@ -19,5 +20,11 @@ def queries() -> dict[str, Callable]:
     return {name: getattr(import_module(f"{__package__}.{module}"), function) for name, (module, function) in QUERIES.items()}
 
 
+#: query: (module, name of its SQL).
+ORACLES = {
+    "op10_line_dedup": ("line_dedup", "ORACLE"),
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: getattr(import_module(f"{__package__}.{module}"), sql) for name, (module, sql) in ORACLES.items()}
