@@ -117,3 +117,23 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(1, n):
         out = mix(out * _STEP + np.roll(words, -k))
     return out
+
+
+def bitmap(slots: DataFrame, bits: int) -> np.ndarray:
+    """A map of `bits` bits with those of column slot set. Its size is fixed
+    whatever the rows are: it is built by partial aggregates of 4 KB each."""
+    at = F.col("slot") + 1
+    parts = slots.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(max(bits // 8, 4096), np.uint8)
+    for r in parts.toLocalIterator():
+        lo = (r["k"] - 1) * 4096
+        out[lo : lo + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def doc_slot(column: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(bits))
