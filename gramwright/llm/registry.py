@@ -7,6 +7,7 @@ from importlib import import_module
 
 #: query: (module, function); modules are imported when a query is first called for.
 QUERIES = {
+    "op3_suffix_array_dedup": ("suffix_dedup", "op3"),
     "op1_minhash_odd_sketches": ("near_dedup", "op1"),
     "op6_weak_supervision": ("quality", "op6"),
     "op10_line_dedup": ("line_dedup", "op10"),
