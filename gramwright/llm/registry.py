@@ -7,6 +7,7 @@ from importlib import import_module
 
 #: query: (module, function); modules are imported when a query is first called for.
 QUERIES = {
+    "op9_tool_call_linking": ("tool_calls", "op9"),
     "op3_suffix_array_dedup": ("suffix_dedup", "op3"),
     "op1_minhash_odd_sketches": ("near_dedup", "op1"),
     "op6_weak_supervision": ("quality", "op6"),
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable]:
 
 #: query: (module, name of its SQL).
 ORACLES = {
+    "op9_tool_call_linking": ("tool_calls", "ORACLE"),
     "op10_line_dedup": ("line_dedup", "ORACLE"),
 }
 
