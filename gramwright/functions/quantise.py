@@ -28,8 +28,11 @@ def encode(r: Column, width: int) -> Column:
     if width < 8:
         raw = F.floor(F.least(F.greatest((r + 1) * float(scale), F.lit(0.0)), F.lit(float(top - 1))))
         return F.when(gone, F.lit(top)).otherwise(raw).cast("long")
-    # doubles near 2^62 step by 1024: the product is exact in double, the bound is kept in decimal
-    raw = F.greatest((r + 1) * float(scale), F.lit(0.0)).cast("decimal(38,0)")
+    # the product is exact in double, but a cast of it to decimal is not: its halves are, as longs
+    scaled = F.greatest((r + 1) * float(scale), F.lit(0.0))
+    high = F.floor(scaled / float(1 << 32))
+    low = F.floor(scaled - high.cast("double") * float(1 << 32))
+    raw = (high.cast("decimal(20,0)") * F.lit(str(1 << 32)).cast("decimal(11,0)") + low.cast("decimal(20,0)")).cast("decimal(38,0)")
     return F.when(gone, F.lit(str(top)).cast("decimal(38,0)")).otherwise(F.least(raw, F.lit(str(top - 1)).cast("decimal(38,0)"))).cast("decimal(20,0)")
 
 

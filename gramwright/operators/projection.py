@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
 
-#: Diagonal elements of R up to this are dependent columns.
+#: Diagonal elements of R up to this are dependent columns; for columns longer
+#: than 1, this share of their length, as rounding grows with it.
 INDEPENDENT = 1e-10
 #: Bytes of Q up to which it is broadcast to joins.
 BROADCAST_BYTES = 64 << 20
@@ -71,7 +72,7 @@ def basis(covariates: DataFrame) -> Projection:
         raise ValueError(f"Number of samples ({n}) must be greater than number of covariates ({len(names)})")
     sizes = np.linalg.svd(r, compute_uv=False)
     if (sizes > sizes.max() * n * np.finfo(float).eps).sum() < len(names):
-        keep = np.abs(np.diag(r)) > INDEPENDENT
+        keep = np.abs(np.diag(r)) > INDEPENDENT * np.maximum(1.0, np.linalg.norm(r, axis=0))
         if not keep.any():
             raise ValueError("All covariate columns are linearly dependent")
         log.warning("Covariates are rank deficient: using %d of %d columns", keep.sum(), len(names))
