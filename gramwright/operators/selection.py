@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.region import Region, parse_region
+from ..session import settled
 
 log = logging.getLogger(__name__)
 
@@ -160,7 +161,8 @@ def numbered(rows: DataFrame, *order: str, name: str = "ord") -> DataFrame:
     """Rows counted from 0 in an order. Each range partition counts its own, and
     sizes of the partitions before are added: a row per partition meets the
     driver, and no task sees all rows."""
-    ranged = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist()
+    ranged = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    ranged = settled(ranged)
     sizes = {r["__part"]: r["count"] for r in ranged.groupBy("__part").count().collect()}
     first, total = {}, 0
     for k in sorted(sizes):

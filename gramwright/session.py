@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Needed by the data sources (filters reach the file formats) and for skewed keys.
 SETTINGS = {
@@ -18,6 +18,16 @@ def session(name: str = "gramwright", **more: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=SETTINGS | more).getOrCreate()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and read from the checkpoint folder (spark.checkpoint.dir;
+    one under the warehouse if that is unset): unlike a cache it is not found
+    again by other plans over the same paths, and it outlives executors."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint()
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Sets on a running session what can still be set."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

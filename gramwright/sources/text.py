@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 log = logging.getLogger(__name__)
 
 LONG = "#CHROM\tPOS\tID\tREF\tALT\tCHROM_B\tPOS_B\tID_B\tREF_B\tALT_B\tR"
@@ -113,7 +115,7 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
     # left variants in the order of the file, then those only seen on the right
     seen = cells.select(F.lit(0).alias("side"), "n", F.col("a").alias("v")).union(cells.select(F.lit(1), "n", F.col("b")))
     order = numbered(seen.groupBy("v").agg(F.min(F.struct("side", "n")).alias("first")), "first", name="variant_idx")
-    order = order.select(F.col("variant_idx").cast("int").alias("variant_idx"), "v").persist()
+    order = settled(order.select(F.col("variant_idx").cast("int").alias("variant_idx"), "v"))
     at = lambda s, k: order.select(F.col("v").alias(s), F.col("variant_idx").alias(k))
     known = cells.join(at("a", "x"), "a").join(at("b", "y"), "b").select("x", "y", "r")
     info = order.select("variant_idx", "v.*").withColumn("pos", F.col("pos").cast("int"))
