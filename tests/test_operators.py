@@ -19,7 +19,7 @@ def square(df, n):
 
 def genotypes(n=60, v=7, seed=3):
     g = np.random.default_rng(seed).binomial(2, 0.3, (n, v)).astype(float)
-    g[:, 4] = 0.1
+    g[:, min(4, v - 1)] = 0.1
     return g
 
 
