@@ -26,6 +26,8 @@ def queries() -> dict[str, Callable]:
 
 #: query: (module, name of its SQL).
 ORACLES = {
+    "op1_minhash_odd_sketches": ("oracle", "NEAR_DEDUP"),
+    "op8_benchmark_decontamination": ("oracle", "BENCHMARK"),
     "op9_tool_call_linking": ("tool_calls", "ORACLE"),
     "op10_line_dedup": ("line_dedup", "ORACLE"),
 }
