@@ -10,9 +10,11 @@ whose sketches allow the threshold are compared on their full sets.
 Buckets are never expanded into pairs. First each member is compared with one
 leader, another one in each band; confirmed links join most of a group. Only
 buckets that still hold several components are looked at again, in tiles of
-bounded size: sketches of members of different components are compared by
-numpy within the tile, and the few pairs that may reach the threshold go on.
-A pair at the threshold is missed by all bands with a chance of 1e-6.
+bounded size, to which members bring their full sets: sketches of members of
+different components are compared by numpy, pairs that may reach the threshold
+are confirmed on the spot, and a tile returns no more links than it joins
+components. A pair at the threshold is missed by all bands with a chance of
+1e-6, and by the sketches with one of 1e-6.
 """
 
 from __future__ import annotations
@@ -33,10 +35,12 @@ BANDS, ROWS = 24, 5
 BINS, BITS = 512, 1024
 #: Least similarity of a link, in hundredths.
 LINK = 85
-#: A pair is dropped unseen if its sketches' highest likely similarity is below
-#: this: five deviations under LINK.
-SKETCH_CUT = 0.73
-TILE = 2048
+#: A pair is dropped if its sketches' similarity is this many deviations under LINK.
+DEVIATIONS = 5
+#: Members of a tile's side, and shingles of all of them.
+TILE, TILE_SHINGLES = 1024, 1 << 20
+PARITY = BITS // 64
+WIDTH = PARITY + BINS // 64  # parities, then which bins have a sample
 #: Bits of the map of documents whose texts are wanted; its size is fixed.
 WANTED_BITS = 1 << 25
 
@@ -78,7 +82,7 @@ def signatures(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     size = np.bincount(owner, minlength=n)
     digest = np.zeros((2, n), np.uint64)
     bands = np.zeros((n, BANDS), np.uint64)
-    sketch = np.zeros((n, BITS // 64), np.uint64)
+    sketch = np.zeros((n, WIDTH), np.uint64)
     samples = np.zeros(n, np.int64)
     rows = np.flatnonzero(size)
     if not len(rows):
@@ -100,7 +104,9 @@ def signatures(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     samples = np.bincount(sampled, minlength=n)
     bit = (mix(h[first] ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(54)).astype(np.int64)
     odd = (np.bincount(sampled * BITS + bit, minlength=n * BITS) & 1).astype(np.uint8)
-    sketch = np.packbits(odd.reshape(n, BITS), axis=1, bitorder="little").view(np.uint64)
+    taken = np.zeros((n, BINS), np.uint8)
+    taken.ravel()[place] = 1
+    sketch = np.packbits(np.concatenate([odd.reshape(n, BITS), taken], 1), axis=1, bitorder="little").view(np.uint64)
     return size, digest, bands, sketch, samples
 
 
@@ -122,16 +128,43 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_shingles", "set_a", "set_b", "bands", "sketch", "samples"])
 
 
-def likely(differing, a, b):
-    """Highest likely similarity: samples that agree, by the bits that differ."""
-    bits = F.least(differing, F.lit(BITS // 2 - 1)).cast("double")
-    apart = -BITS / 2 * F.log(1 - 2 * bits / BITS)
-    return (F.col(a) + F.col(b) - apart) / 2 / F.greatest(F.col(a), F.col(b))
+def shortfall(apart, either, samples, sizes, m):
+    """How far, in deviations, a pair's sketches put it under LINK, by parities
+    that differ and bins taken in either. m has log, sqrt, exp, least and
+    greatest, of numpy or of columns.
+
+    Samples that differ follow from the parities; the similarity is the share
+    of taken bins that agree. It varies as far as samples leave shingles out,
+    and by parities that cancel each other.
+    """
+    (sa, sb), (na, nb) = samples, sizes
+    differ = -BITS / 2 * m.log(1 - 2 * m.least(apart, BITS / 2 - 1) / BITS)
+    found = (sa + sb - differ) / 2 / either
+    left_out = 1 - m.least(sa / na, sb / nb)
+    at = m.greatest(sa + sb - 2 * LINK / 100 * either, 1.0)
+    e = m.exp(-4 * at / BITS)
+    spread = LINK / 100 * (1 - LINK / 100) * left_out / either + (BITS / 4 * (1 - e) - at * e) / e / 4 / (either * either)
+    return (LINK / 100 - found - 1 / either) / m.sqrt(spread + 1e-12)
+
+
+class _Numpy:
+    log, sqrt, exp, least, greatest = np.log, np.sqrt, np.exp, np.minimum, np.maximum
+
+
+class _Columns:
+    log, sqrt, exp = F.log, F.sqrt, F.exp
+    least = staticmethod(lambda a, b: F.least(a, b if hasattr(b, "cast") else F.lit(float(b))))
+    greatest = staticmethod(lambda a, b: F.greatest(a, b if hasattr(b, "cast") else F.lit(float(b))))
 
 
-def _likely_np(differing: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    apart = -BITS / 2 * np.log(1 - 2 * np.minimum(differing, BITS // 2 - 1) / BITS)
-    return (a + b - apart) / 2 / np.maximum(a, b)
+def _near(columns: tuple[str, str]):
+    a, b = columns
+    bits = lambda xs: F.aggregate(xs, F.lit(0), lambda t, x: t + F.bit_count(x)).cast("double")
+    part = lambda s, at, n: F.slice(f"sketch_{s}", at, n)
+    apart = bits(F.zip_with(part(a, 1, PARITY), part(b, 1, PARITY), lambda x, y: x.bitwiseXOR(y)))
+    either = bits(F.zip_with(part(a, PARITY + 1, WIDTH - PARITY), part(b, PARITY + 1, WIDTH - PARITY), lambda x, y: x.bitwiseOR(y)))
+    number = lambda name: (F.col(f"{name}_{a}").cast("double"), F.col(f"{name}_{b}").cast("double"))
+    return shortfall(apart, either, number("samples"), number("n_shingles"), _Columns) <= DEVIATIONS
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,9 +206,8 @@ def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
 
 def confirm(pairs: DataFrame, reps: DataFrame, documents: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that are links: sketches first, then full sets."""
-    side = lambda s: reps.select(F.col("doc").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("samples").alias(f"samples_{s}"))
-    differing = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(likely(differing, "samples_a", "samples_b") >= SKETCH_CUT).select("a", "b")
+    side = lambda s: reps.select(F.col("doc").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("sketch", "samples", "n_shingles")))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_near(("a", "b"))).select("a", "b")
     near = common.materialise(near, "near-pairs")
     ids = near.select(F.col("a").alias("doc")).union(near.select(F.col("b").alias("doc"))).distinct()
     texts = common.materialise(texts_of(documents, ids), "near-texts")
@@ -184,27 +216,49 @@ def confirm(pairs: DataFrame, reps: DataFrame, documents: DataFrame) -> DataFram
     return common.materialise(both.mapInArrow(_compare, "a long, b long").distinct(), "near-links")
 
 
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= LINK * (len(x) + len(y) - both)
+
+
 def _tile(table: pa.Table) -> pa.Table:
-    """Pairs of one tile: of different components, sketches near enough, and not
-    together in an earlier band."""
+    """Links of one tile between components that it has not yet joined, of
+    members that were not together in an earlier band."""
     n = table.num_rows
-    doc, comp, block = (table.column(c).to_numpy() for c in ("doc", "comp", "block"))
+    doc, comp, block, samples = (table.column(c).to_numpy() for c in ("doc", "comp", "block", "samples"))
     wide = lambda c, w: table.column(c).combine_chunks().flatten().to_numpy().reshape(n, w)
-    sketch, bands = wide("sketch", BITS // 64).view(np.uint64), wide("bands", BANDS)
-    samples, band = table.column("samples").to_numpy().astype(float), int(table.column("band")[0].as_py())
+    sketch, bands = wide("sketch", WIDTH).view(np.uint64), wide("bands", BANDS)
+    sets = table.column("shingles").combine_chunks()
+    size = sets.value_lengths().to_numpy().astype(float)
+    held = np.split(sets.flatten().to_numpy().view(np.uint64), np.cumsum(size.astype(int))[:-1])
+    samples, band = samples.astype(float), int(table.column("band")[0].as_py())
     i, j = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    out_a, out_b = [], []
+    comp = comp.copy()
+    out = []
     for x in left:
         y = right[(comp[right] != comp[x]) & ((doc[right] > doc[x]) if i == j else (doc[right] != doc[x]))]
-        if len(y):
-            apart = np.bitwise_count(sketch[y] ^ sketch[x]).sum(1)
-            y = y[_likely_np(apart, samples[y], samples[x]) >= SKETCH_CUT]
-            y = y[~(bands[y, :band] == bands[x, :band]).any(1)]
-            out_a.append(np.minimum(doc[y], doc[x]))
-            out_b.append(np.maximum(doc[y], doc[x]))
-    empty = np.zeros(0, np.int64)
-    return pa.table({"a": np.concatenate([empty, *out_a]), "b": np.concatenate([empty, *out_b])})
+        if not len(y):
+            continue
+        apart = np.bitwise_count(sketch[y, :PARITY] ^ sketch[x, :PARITY]).sum(1).astype(float)
+        either = np.bitwise_count(sketch[y, PARITY:] | sketch[x, PARITY:]).sum(1).astype(float)
+        under = shortfall(apart, either, (samples[y], samples[x]), (size[y], size[x]), _Numpy)
+        order = np.argsort(under, kind="stable")
+        y = y[order][under[order] <= DEVIATIONS]
+        for k in y[~(bands[y, :band] == bands[x, :band]).any(1)]:
+            if comp[k] != comp[x] and _linked(held[k], held[x]):
+                out.append(sorted((int(doc[k]), int(doc[x]))))
+                comp[comp == comp[k]] = comp[x]
+    return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = utf8(batch.column(1))
+        for lo, hi in slices(texts):
+            h, owner = shingles(texts[lo:hi])
+            bounds = np.searchsorted(owner, np.arange(hi - lo + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(bounds), pa.array(_signed(h)))], names=["doc", "shingles"])
 
 
 def link_components(documents: DataFrame) -> DataFrame:
@@ -218,11 +272,12 @@ def link_components(documents: DataFrame) -> DataFrame:
     rows = documents.select(common.doc_key().alias("doc"), F.col("text").cast("string").alias("text"))
     signed = common.materialise(rows.mapInArrow(_sign, SIGNATURE), "signatures")
     # equal sets have equal bands and sketches: any member's will do
-    classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in ("bands", "sketch", "samples")))
+    classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in ("bands", "sketch", "samples", "n_shingles")))
     reps = common.materialise(classes, "classes")
-    members = reps.select("doc", F.posexplode("bands").alias("band", "key"))
-    leaders = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc", "key").alias("h"), "doc"))["doc"].alias("leader")).where("n > 1")
-    met = common.materialise(members.join(leaders, "key").select("key", "band", "doc", "leader", "n"), "buckets")
+    members = reps.select("doc", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    parts = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n_shingles") / TILE_SHINGLES)).cast("int")
+    leaders = members.groupBy("key").agg(F.count("*").alias("n"), parts.alias("parts"), F.min(F.struct(F.xxhash64("doc", "key").alias("h"), "doc"))["doc"].alias("leader")).where("n > 1")
+    met = common.materialise(members.join(leaders, "key").select("key", "band", "doc", "leader", "n", "parts"), "buckets")
     stars = common.materialise(met.where("doc <> leader").select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct(), "stars")
     links = confirm(stars, reps, documents)
     found = connected(links)
@@ -230,12 +285,13 @@ def link_components(documents: DataFrame) -> DataFrame:
     # buckets of three and more that still hold several components
     at = met.where("n > 2").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
     mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    parts = F.ceil(F.col("n") / TILE).cast("int")
-    tiles = at.join(mixed, "key").join(reps.select("doc", "bands", "sketch", "samples"), "doc").withColumn("block", F.pmod(F.xxhash64("doc"), parts).cast("int"))
-    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    tiles = tiles.select("key", "band", "doc", "comp", "block", "i", "j", "bands", "sketch", "samples")
-    rest = tiles.groupBy("key", "i", "j").applyInArrow(_tile, "a long, b long").distinct()
-    more = confirm(common.materialise(rest.join(stars, ["a", "b"], "left_anti"), "rest"), reps, documents)
+    at = common.materialise(at.join(mixed, "key"), "mixed-buckets")
+    sets = common.materialise(texts_of(documents, at.select("doc").distinct()).mapInArrow(_sets, "doc long, shingles array<long>"), "mixed-sets")
+    block = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
+    tiles = at.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = tiles.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(reps.select("doc", "bands", "sketch", "samples"), "doc").join(sets, "doc")
+    tiles = tiles.select("key", "band", "doc", "comp", "block", "i", "j", "bands", "sketch", "samples", "shingles")
+    more = common.materialise(tiles.groupBy("key", "i", "j").applyInArrow(_tile, "a long, b long").distinct(), "tile-links")
     found = connected(links.union(more))
     of_class = reps.select("set_a", "set_b", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("set_a", "set_b", F.coalesce("component", "doc").alias("component"))
     out = signed.select("doc", "n_shingles", "set_a", "set_b").join(of_class.groupBy("set_a", "set_b").agg(F.min("component").alias("component")), ["set_a", "set_b"], "left")

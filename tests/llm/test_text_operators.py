@@ -98,29 +98,35 @@ def test_near_dedup_of_a_chain_and_a_crowd(spark):
 def test_tiles_find_what_stars_miss():
     import pyarrow as pa
 
-    r = np.random.default_rng(0)
     one = [f"a{k}" for k in range(200)]
     two = [*one]
     two[3] = "b"
-    _, _, bands, sketch, samples = near_dedup.signatures([" ".join(x).encode() for x in (one, two, [f"z{k}" for k in range(200)])])
+    both = [" ".join(x).encode() for x in (one, two, [f"z{k}" for k in range(200)])]
+    _, _, bands, sketch, samples = near_dedup.signatures(both)
+    h, owner = near_dedup.shingles(both)
     n = 3
-    table = pa.table({"key": [1] * n, "band": [0] * n, "doc": [10, 11, 12], "comp": [10, 11, 12], "block": [0] * n, "i": [0] * n, "j": [0] * n, "bands": near_dedup._lists(bands), "sketch": near_dedup._lists(sketch), "samples": samples})
-    out = near_dedup._tile(table).to_pylist()
-    assert all(p == {"a": 10, "b": 11} for p in out) and (not (bands[0][:0] == bands[1][:0]).any())
-    assert r is not None and len(out) == 1
+    held = pa.array([h[owner == k].view(np.int64).tolist() for k in range(n)], pa.list_(pa.int64()))
+    table = pa.table({"key": [1] * n, "band": [0] * n, "doc": [10, 11, 12], "comp": [10, 11, 12], "block": [0] * n, "i": [0] * n, "j": [0] * n, "bands": near_dedup._lists(bands), "sketch": near_dedup._lists(sketch), "samples": samples, "shingles": held})
+    assert near_dedup._tile(table).to_pylist() == [{"a": 10, "b": 11}]
 
 
 def test_odd_sketches_tell_similarity():
-    base = [f"w{k}" for k in range(2000)]
-    for changed in (0, 10, 40):
-        other = [*base]
-        for k in range(changed):
-            other[k * 50] = f"c{k}"
-        a, b = sets(" ".join(base)), sets(" ".join(other))
-        true = len(a & b) / len(a | b)
-        _, _, _, sketch, samples = near_dedup.signatures([" ".join(base).encode(), " ".join(other).encode()])
-        apart = np.bitwise_count(sketch[0] ^ sketch[1]).sum()
-        assert abs(near_dedup._likely_np(apart, samples[0], samples[1]) - true) < 0.08
+    r = np.random.default_rng(6)
+    for n in (12, 150, 600, 5000):
+        base = [f"w{k}" for k in range(n)]
+        for share in (0, 0.005, 0.012, 0.02, 0.05, 0.2):
+            other = [*base]
+            for k in r.choice(n, int(n * share), replace=False):
+                other[k] = f"c{k}"
+            both = [" ".join(base).encode(), " ".join(other).encode()]
+            a, b = (sets(x.decode()) for x in both)
+            size, _, _, sketch, samples = near_dedup.signatures(both)
+            apart = float(np.bitwise_count(sketch[0, : near_dedup.PARITY] ^ sketch[1, : near_dedup.PARITY]).sum())
+            either = float(np.bitwise_count(sketch[0, near_dedup.PARITY :] | sketch[1, near_dedup.PARITY :]).sum())
+            under = near_dedup.shortfall(apart, either, samples.astype(float), size.astype(float), near_dedup._Numpy)
+            true = len(a & b) / len(a | b)
+            assert under <= near_dedup.DEVIATIONS or true < 0.85
+            assert under > near_dedup.DEVIATIONS or true > 0.65
 
 
 def test_components(spark):
