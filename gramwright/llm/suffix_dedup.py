@@ -12,14 +12,19 @@ share it travel as one:
 2. The rest are ranked by the pair of that rank and the rank of the whole run's
    bytes. A run equal to an earlier one is covered whole; if all runs of a gram
    are equal, the first of them is settled too: nothing of it occurs before.
-3. Of the others, the first of each kind goes down to single positions, ranked
-   by LENGTH / 2 bytes; the pairs of ranks at a position and LENGTH / 2 further
-   are sorted, and every position but the first of its pair is covered.
+3. Of the others, the first of each kind is cut by its strings' distance to the
+   gram into parts of STEP strings, which share CORE bytes around it: parts are
+   ranked by these, then by the pair with their whole bytes, as in 1 and 2.
+4. The first of each kind that is left goes down to single positions, ranked by
+   LENGTH / 2 bytes; the pairs of ranks at a position and LENGTH / 2 further are
+   sorted, and every position but the first of its pair is covered.
 
 A rank's name is a 64-bit hash of the bytes, the same wherever it is computed,
-so that equal names meet by sorting and no numbering is needed; steps 2 and 3
+so that equal names meet by sorting and no numbering is needed; steps 2 to 4
 compare 128 bits. Between steps, maps of fixed size tell the next scan which
-positions can still matter. They only leave out; joins decide.
+positions can still matter. They only leave out; joins decide. What comes
+before what within a document is told where the document is read (`again`), so
+that the aggregates only need the least doc_id.
 """
 
 from __future__ import annotations
@@ -33,41 +38,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import BYTE_VALUE, mix, slices, utf8
+from .common import BYTE_VALUE, mix, utf8
 
 LENGTH = 100
 ANCHOR = 32
+STEP, CORE = 16, 85
 #: Bits of each map; fixed, whatever the input.
 MAP_BITS = 1 << 27
-_PASS = 1 << 20
+_PASS = 1 << 18
 
-RUNS = "gram long, whole long, doc long, text_hash long, start int, more int"
-WINDOWS = "left long, right long, doc long, text_hash long, start int"
+RUNS = "gram long, whole long, doc long, text_hash long, start int, more int, again boolean"
 RESULT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+COLUMNS = ["gram", "whole", "doc", "text_hash", "start", "more", "again"]
 
-_A, _B = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B185EBCA87)
-
-
-def _join(x: np.ndarray, y: np.ndarray, gap: int) -> np.ndarray:
-    """Name of the bytes under x[i] and y[i + gap], for every i that has both."""
-    n = max(0, min(len(x), len(y) - gap))
-    return mix(x[:n] * _A + y[gap : gap + n] * _B + np.uint64(gap))
+#: A multiplier for each length that names are joined to.
+_BY = {n: np.uint64(k) for n, k in zip((2, 4, 8, 16, 32, 48, 50, 64, 80, 84, 85, 100), np.random.default_rng(17).integers(1, 2**62, 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1), strict=True)}
 
 
 class Names:
-    """Names of the strings of several lengths at every place of a buffer."""
+    """Names of the strings at every place of a buffer: powers of two as
+    arrays, other lengths joined at the places that are asked for."""
 
     def __init__(self, buf: np.ndarray):
-        one = BYTE_VALUE[buf]
-        two = _join(one, one, 1)
-        four = _join(two, two, 2)
-        eight = _join(four, four, 4)
-        sixteen = _join(eight, eight, 8)
-        self.gram = _join(sixteen, sixteen, 16)
-        del four, eight
-        forty_eight = _join(self.gram, sixteen, 32)
-        self.half = _join(forty_eight, two, 48)
-        self.whole = _join(self.half, self.half, 50)
+        self.of = {1: BYTE_VALUE[buf]}
+        for n in (2, 4, 8, 16, 32):
+            half = self.of[n // 2]
+            self.of[n] = half[: len(half) - n // 2] * _BY[n] + half[n // 2 :] if len(half) > n // 2 else half[:0]
+
+    def __call__(self, n: int, at: np.ndarray) -> np.ndarray:
+        if n in self.of:
+            return self.of[n][at]
+        first = {48: 32, 50: 48, 64: 32, 80: 64, 84: 80, 85: 84, 100: 50}[n]
+        return self(first, at) * _BY[n] + self(n - first, at + first)
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -80,31 +82,77 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
-def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(gram, whole, text's index, start, strings more than one) of every run,
-    and the names at every place, with each text's first place."""
-    buf = np.frombuffer(b"".join(texts), np.uint8)
-    size = np.array([len(t) for t in texts], np.int64)
-    begin = np.cumsum(size) - size
-    none = np.zeros(0, np.int64)
-    if not (size >= LENGTH).any():
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none, None, begin
-    names = Names(buf)
-    bits = np.uint64(int(len(buf)).bit_length())
-    keyed = (names.gram >> bits << bits) | np.arange(len(names.gram), dtype=np.uint64)
-    anchor = (_least(keyed, LENGTH - ANCHOR + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    count = np.maximum(size - LENGTH + 1, 0)
-    owner = np.repeat(np.arange(len(texts)), count)
-    place = np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
-    at = anchor[place]
-    new = np.ones(len(place), bool)
-    new[1:] = (at[1:] != at[:-1]) | (place[1:] != place[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(place)) - 1
-    p, q = place[first], place[last]
-    more = q - p
-    whole = mix(names.whole[p] * _A + names.whole[q] + (more * 256 + at[first] - p).astype(np.uint64))
-    return names.gram[at[first]], whole, owner[first], p - begin[owner[first]], more, names, begin
+class Runs:
+    """Runs of a batch of texts: gram, whole, text's index, first and last
+    place in the joined texts, and the gram's place."""
+
+    def __init__(self, texts: list[bytes]):
+        buf = np.frombuffer(b"".join(texts), np.uint8)
+        size = np.array([len(t) for t in texts], np.int64)
+        self.begin = np.cumsum(size) - size
+        self.names = Names(buf)
+        self.at = self.first = self.last = self.owner = np.zeros(0, np.int64)
+        if (size >= LENGTH).any():
+            self._find(size, len(buf))
+        self.gram = mix(self.names(ANCHOR, self.at))
+        self.whole = self._whole(self.first, self.last, self.at)
+
+    def _find(self, size: np.ndarray, n: int) -> None:
+        bits = np.uint64(n.bit_length())
+        gram = mix(self.names.of[ANCHOR])
+        keyed = (gram >> bits << bits) | np.arange(len(gram), dtype=np.uint64)
+        anchor = (_least(keyed, LENGTH - ANCHOR + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        new = np.ones(len(anchor), bool)
+        new[1:] = anchor[1:] != anchor[:-1]
+        count = np.maximum(size - LENGTH + 1, 0)
+        some = count > 0
+        inside = np.zeros(len(anchor) + 1, np.int8)
+        inside[self.begin[some]] = 1
+        np.add.at(inside, self.begin[some] + count[some], -1)
+        inside = np.cumsum(inside[:-1]) > 0
+        new[self.begin[some]] = True
+        self.first = np.flatnonzero(new & inside)
+        self.owner = np.searchsorted(self.begin, self.first, side="right") - 1
+        end = self.begin[self.owner] + count[self.owner] - 1
+        self.last = np.minimum(np.append(self.first[1:] - 1, end[-1:]), end)
+        self.at = anchor[self.first]
+
+    def _whole(self, first: np.ndarray, last: np.ndarray, at: np.ndarray) -> np.ndarray:
+        place = ((last - first) * 256 + at - first).astype(np.uint64)
+        return mix(mix(self.names(LENGTH, first)) * _BY[2] + mix(self.names(LENGTH, last)) * _BY[4] + place)
+
+    def pick(self, keep: np.ndarray) -> None:
+        for k in ("gram", "whole", "owner", "first", "last", "at"):
+            setattr(self, k, getattr(self, k)[keep])
+
+    def cut(self) -> None:
+        """Into parts of strings whose distance to the gram has the same quotient by STEP."""
+        far, near = (self.at - self.first) // STEP, (self.at - self.last) // STEP
+        n = far - near + 1
+        who = np.repeat(np.arange(len(n)), n)
+        k = np.repeat(far, n) - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        first, last, at = self.first[who], self.last[who], self.at[who]
+        self.first, self.last = np.maximum(first, at - k * STEP - STEP + 1), np.minimum(last, at - k * STEP)
+        self.at, self.owner = at, self.owner[who]
+        self.gram = mix(mix(self.names(CORE, at - k * STEP)) + k.astype(np.uint64))
+        self.whole = self._whole(self.first, self.last, at)
+
+    def single(self) -> None:
+        """Into single strings, named by their halves."""
+        n = self.last - self.first + 1
+        p = np.arange(n.sum()) + np.repeat(self.first - (np.cumsum(n) - n), n)
+        self.owner = np.repeat(self.owner, n)
+        self.first = self.last = self.at = p
+        self.gram, self.whole = mix(self.names(LENGTH // 2, p)), mix(self.names(LENGTH // 2, p + LENGTH // 2))
+
+    def batch(self, doc: np.ndarray, text_hash: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((self.first, self.whole, self.gram, self.owner))
+        o, g, w = self.owner[order], self.gram[order], self.whole[order]
+        again = np.zeros(len(order), bool)
+        again[order[1:]] = (o[1:] == o[:-1]) & (g[1:] == g[:-1]) & (w[1:] == w[:-1])
+        start, more = self.first - self.begin[self.owner], self.last - self.first
+        columns = [pa.array(self.gram.view(np.int64)), pa.array(self.whole.view(np.int64)), pa.array(doc[self.owner]), pa.array(text_hash[self.owner]), pa.array(start, pa.int32()), pa.array(more, pa.int32()), pa.array(again)]
+        return pa.RecordBatch.from_arrays(columns, names=COLUMNS)
 
 
 def _rows(documents: DataFrame) -> DataFrame:
@@ -112,76 +160,68 @@ def _rows(documents: DataFrame) -> DataFrame:
     return documents.select(common.doc_key().alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def _run_rows(rows: DataFrame, sent=None) -> DataFrame:
-    """Runs of all documents; if a map of grams is sent, only of those it has."""
+def _scan(rows: DataFrame, grams=None, heads=None, parts=None) -> DataFrame:
+    """Runs of all documents, of the grams in a map if it is sent. With heads, a
+    map of runs, those of them are cut into parts; with parts, a map as well,
+    those of these are cut into single strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, text_hash, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), utf8(batch.column(2))
-            for lo, hi in slices(texts, _PASS):
-                gram, whole, owner, start, more, _, _ = runs(texts[lo:hi])
-                if sent is not None:
-                    keep = common.in_bitmap(sent.value, (gram & np.uint64(MAP_BITS - 1)).astype(np.int64))
-                    gram, whole, owner, start, more = gram[keep], whole[keep], owner[keep], start[keep], more[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc[lo + owner]), pa.array(text_hash[lo + owner]), pa.array(start, pa.int32()), pa.array(more, pa.int32())],
-                    names=["gram", "whole", "doc", "text_hash", "start", "more"],
-                )
-
-    return rows.mapInArrow(run, RUNS)
-
-
-def _window_rows(rows: DataFrame, sent) -> DataFrame:
-    """Single strings of the runs that the map has: names of their halves."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, text_hash, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), utf8(batch.column(2))
-            for lo, hi in slices(texts, _PASS):
-                _, whole, owner, start, more, names, begin = runs(texts[lo:hi])
-                slot = (whole.view(np.int64) ^ doc[lo + owner]) & (MAP_BITS - 1)
-                keep = common.in_bitmap(sent.value, slot)
-                owner, start, more = owner[keep], start[keep], more[keep]
-                if not len(owner):
-                    continue
-                count = more + 1
-                who = np.repeat(owner, count)
-                at = np.arange(count.sum()) + np.repeat(start - (np.cumsum(count) - count), count)
-                p = begin[who] + at
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names.half[p].view(np.int64)), pa.array(names.half[p + 50].view(np.int64)), pa.array(doc[lo + who]), pa.array(text_hash[lo + who]), pa.array(at, pa.int32())],
-                    names=["left", "right", "doc", "text_hash", "start"],
-                )
-
-    return rows.mapInArrow(run, WINDOWS)
+            doc, text_hash, sizes = (batch.column(k).to_numpy() for k in (0, 1, 3))
+            lo = 0
+            while lo < len(doc):
+                # texts are unpacked a pass at a time
+                hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:]), _PASS, side="right")) + lo)
+                found = Runs(utf8(batch.column(2).slice(lo, hi - lo)))
+                mine = doc[lo:hi]
+                if grams is not None:
+                    found.pick(common.in_bitmap(grams.value, (found.gram & np.uint64(MAP_BITS - 1)).astype(np.int64)))
+                head = lambda bits, found=found, mine=mine: common.in_bitmap(bits.value, (found.whole.view(np.int64) ^ mine[found.owner]) & (MAP_BITS - 1))
+                if heads is not None:
+                    found.pick(head(heads))
+                    found.cut()
+                if parts is not None:
+                    found.pick(head(parts))
+                    found.single()
+                yield found.batch(mine, text_hash[lo:hi])
+                lo = hi
+
+    sized = rows.select("doc", "text_hash", "text", F.octet_length("text").cast("long").alias("size"))
+    return sized.mapInArrow(run, RUNS)
+
+
+def _settle(found: DataFrame, grams: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Steps 2 and 3b: spans of the rows that occur before, and (slot) the first
+    rows of each kind where a gram has several."""
+    kinds = found.groupBy("gram", "whole").agg(F.min("doc").alias("first"), F.count("*").alias("n")).join(grams, "gram")
+    kinds = common.materialise(kinds.where("several or n > 1"), name)
+    repeats = found.join(kinds.where("n > 1").select("gram", "whole", "first"), ["gram", "whole"]).where("doc > first or again")
+    heads = kinds.where("several").select(F.pmod(F.col("whole").bitwiseXOR(F.col("first")), F.lit(MAP_BITS)).alias("slot"))
+    return repeats.select("doc", "text_hash", "start", (F.col("start") + F.col("more") + LENGTH).alias("stop")), heads
+
+
+def _grams(found: DataFrame) -> DataFrame:
+    """gram, several: those that occur twice or more."""
+    counted = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
+    return counted.where("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("several"))
 
 
 def covered_spans(documents: DataFrame) -> DataFrame:
     """doc, text_hash, start, stop: strings that occur before, in bytes."""
     spark = documents.sparkSession
+    send = lambda slots: spark.sparkContext.broadcast(common.bitmap(slots, MAP_BITS))
     rows = _rows(documents)
-    place = F.struct("doc", "start")
-    every = _run_rows(rows)
-    grams = every.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("n > 1")
-    grams = common.materialise(grams.select("gram", (F.col("lo") != F.col("hi")).alias("several")), "grams")
-    sent = spark.sparkContext.broadcast(common.bitmap(grams.select(F.pmod("gram", F.lit(MAP_BITS)).alias("slot")), MAP_BITS))
-    alive = common.materialise(_run_rows(rows, sent).join(grams, "gram"), "runs")
-    kinds = alive.groupBy("gram", "whole", "several").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    kinds = common.materialise(kinds.where("several or n > 1"), "kinds")
-    repeats = alive.join(kinds.where("n > 1").select("gram", "whole", "first"), ["gram", "whole"]).where(place > F.col("first"))
-    spans = repeats.select("doc", "text_hash", "start", (F.col("start") + F.col("more") + LENGTH).alias("stop"))
-    heads = kinds.where("several").select(F.pmod(F.col("whole").bitwiseXOR(F.col("first.doc")), F.lit(MAP_BITS)).alias("slot"))
-    sent_heads = spark.sparkContext.broadcast(common.bitmap(heads, MAP_BITS))
-    windows = _window_rows(rows, sent_heads)
-    pairs = common.materialise(windows.groupBy("left", "right").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("left", "right", "first"), "pairs")
-    sent_pairs = spark.sparkContext.broadcast(common.bitmap(pairs.select(F.pmod("left", F.lit(MAP_BITS)).alias("slot")), MAP_BITS))
-
-    def still(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(common.in_bitmap(sent_pairs.value, batch.column(0).to_numpy() & (MAP_BITS - 1))))
-
-    single = windows.mapInArrow(still, WINDOWS).join(pairs, ["left", "right"]).where(place > F.col("first"))
-    return spans.union(single.select("doc", "text_hash", "start", (F.col("start") + LENGTH).alias("stop")))
+    grams = common.materialise(_grams(_scan(rows)), "grams")
+    in_grams = send(grams.select(F.pmod("gram", F.lit(MAP_BITS)).alias("slot")))
+    alive = common.materialise(_scan(rows, in_grams), "runs")
+    spans, heads = _settle(alive, grams, "kinds")
+    in_heads = send(heads)
+    parts = common.materialise(_scan(rows, in_grams, in_heads), "parts")
+    more, part_heads = _settle(parts, _grams(parts), "part-kinds")
+    single = common.materialise(_scan(rows, in_grams, in_heads, send(part_heads)), "single")
+    pairs = single.groupBy("gram", "whole").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    last = single.join(pairs, ["gram", "whole"]).where("doc > first or again").select("doc", "text_hash", "start", (F.col("start") + LENGTH).alias("stop"))
+    return spans.union(more).union(last)
 
 
 def _cut(text: bytes, starts: list[int], stops: list[int]) -> tuple[bytes, int, int]:
