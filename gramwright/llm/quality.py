@@ -146,14 +146,16 @@ def estimate(patterns: DataFrame, rules: list[str], rounds: int = ROUNDS) -> Acc
     classes from changing their meaning and chances off 0 and 1."""
     found = Accuracies({r: (0.98, 0.3) for r in rules}, 0.8)
     for _ in range(rounds):
-        q = found.posterior()
+        # the posterior is a column of its own: sums that each spelt it out would make plans of megabytes
+        weighed = patterns.withColumn("q", found.posterior())
+        q = F.col("q")
         sums = [F.sum(F.col("n") * q).alias("good"), F.sum("n").alias("n")]
         for r in rules:
             v = F.col(f"vote_{r}")
             for name, weight, hit in (("g", q, 1), ("b", 1 - q, -1)):
                 sums.append(F.sum(F.when(v == hit, F.col("n") * weight).otherwise(0.0)).alias(f"{r}_{name}_right"))
                 sums.append(F.sum(F.when(v != 0, F.col("n") * weight).otherwise(0.0)).alias(f"{r}_{name}_votes"))
-        row = patterns.agg(*sums).first()
+        row = weighed.agg(*sums).first()
         if not row["n"]:
             break
         extra = max(10.0, BELIEF * row["n"])
