@@ -42,7 +42,7 @@ from .common import BYTE_VALUE, mix, utf8
 
 LENGTH = 100
 ANCHOR = 32
-STEP, CORE = 16, 85
+STEP, CORE = 8, 93
 #: Bits of each map; fixed, whatever the input.
 MAP_BITS = 1 << 27
 _PASS = 1 << 18
@@ -52,7 +52,7 @@ RESULT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 COLUMNS = ["gram", "whole", "doc", "text_hash", "start", "more", "again"]
 
 #: A multiplier for each length that names are joined to.
-_BY = {n: np.uint64(k) for n, k in zip((2, 4, 8, 16, 32, 48, 50, 64, 80, 84, 85, 100), np.random.default_rng(17).integers(1, 2**62, 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1), strict=True)}
+_BY = {n: np.uint64(k) for n, k in zip((2, 4, 8, 16, 32, 48, 50, 64, 80, 88, 92, 93, 100), np.random.default_rng(17).integers(1, 2**62, 13, dtype=np.uint64) * np.uint64(2) + np.uint64(1), strict=True)}
 
 
 class Names:
@@ -68,7 +68,7 @@ class Names:
     def __call__(self, n: int, at: np.ndarray) -> np.ndarray:
         if n in self.of:
             return self.of[n][at]
-        first = {48: 32, 50: 48, 64: 32, 80: 64, 84: 80, 85: 84, 100: 50}[n]
+        first = {48: 32, 50: 48, 64: 32, 80: 64, 88: 80, 92: 88, 93: 92, 100: 50}[n]
         return self(first, at) * _BY[n] + self(n - first, at + first)
 
 
@@ -160,10 +160,10 @@ def _rows(documents: DataFrame) -> DataFrame:
     return documents.select(common.doc_key().alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def _scan(rows: DataFrame, grams=None, heads=None, parts=None) -> DataFrame:
+def _scan(rows: DataFrame, grams=None, heads=None, parts=None, pairs=None) -> DataFrame:
     """Runs of all documents, of the grams in a map if it is sent. With heads, a
     map of runs, those of them are cut into parts; with parts, a map as well,
-    those of these are cut into single strings."""
+    those of these are cut into single strings; pairs maps which of these stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,6 +183,8 @@ def _scan(rows: DataFrame, grams=None, heads=None, parts=None) -> DataFrame:
                 if parts is not None:
                     found.pick(head(parts))
                     found.single()
+                if pairs is not None:
+                    found.pick(common.in_bitmap(pairs.value, (found.whole & np.uint64(MAP_BITS - 1)).astype(np.int64)))
                 yield found.batch(mine, text_hash[lo:hi])
                 lo = hi
 
@@ -218,9 +220,12 @@ def covered_spans(documents: DataFrame) -> DataFrame:
     in_heads = send(heads)
     parts = common.materialise(_scan(rows, in_grams, in_heads), "parts")
     more, part_heads = _settle(parts, _grams(parts), "part-kinds")
-    single = common.materialise(_scan(rows, in_grams, in_heads, send(part_heads)), "single")
-    pairs = single.groupBy("gram", "whole").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    last = single.join(pairs, ["gram", "whole"]).where("doc > first or again").select("doc", "text_hash", "start", (F.col("start") + LENGTH).alias("stop"))
+    in_parts = send(part_heads)
+    # strings are many: they are made again for the join, and then only those of pairs that occur twice
+    pairs = _scan(rows, in_grams, in_heads, in_parts).groupBy("gram", "whole").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = common.materialise(pairs, "pairs")
+    in_pairs = send(pairs.select(F.pmod("whole", F.lit(MAP_BITS)).alias("slot")))
+    last = _scan(rows, in_grams, in_heads, in_parts, in_pairs).join(pairs, ["gram", "whole"]).where("doc > first or again").select("doc", "text_hash", "start", (F.col("start") + LENGTH).alias("stop"))
     return spans.union(more).union(last)
 
 
