@@ -26,7 +26,7 @@ BUCKETS = 1 << 20
 #: Bound on labelled rows used for training.
 SAMPLE = 16_384
 #: Bound on the terms that the machine knows.
-TERMS = 3_000
+TERMS = 1_500
 #: Toxic rows of the sample that a term must occur in.
 LEAST_ROWS = 3
 FACTORS = 8
@@ -59,11 +59,10 @@ def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     length = end - start
     step = np.uint64(0x9E3779B97F4A7C15)
     sums, out, who = np.zeros(len(words), np.uint64), [words], [owner]
-    power = np.uint64(1)
+    power = np.cumprod(np.append(np.uint64(1), np.full(max(STARTS), step, np.uint64)))
     for n in range(1, max(STARTS) + 1):
         more = length >= n
-        sums[more] += BYTE_VALUE[buf[begin[more] + n - 1]] * power
-        power = power * step
+        sums[more] += BYTE_VALUE[buf[begin[more] + n - 1]] * power[n - 1]
         if n in STARTS:
             out.append(mix(sums[more] + np.uint64(n)))
             who.append(owner[more])
@@ -121,23 +120,24 @@ def fit(term: np.ndarray, row: np.ndarray, label: np.ndarray, known: np.ndarray,
     model = Machine(known, float(np.log(share / (1 - share))), np.zeros(m), np.random.default_rng(7).normal(0, 0.05, (m, FACTORS)))
     if not m or not n or not 0 < label.sum() < n:
         return model
-    state = [np.zeros(()), np.zeros(m), np.zeros((m, FACTORS))]
-    square = [np.zeros(()), np.zeros(m), np.zeros((m, FACTORS))]
+    # at most SAMPLE x TERMS numbers of 4 bytes
+    x = np.zeros((n, m), np.float32)
+    x[row, term] = 1
+    params = [np.float32(model.bias), model.weight.astype(np.float32), model.factor.astype(np.float32)]
+    mean, square = [0 * p for p in params], [0 * p for p in params]
     for t in range(1, rounds + 1):
-        v = model.factor[term]
-        total = np.stack([np.bincount(row, v[:, f], n) for f in range(FACTORS)], 1)
-        raw = model.raw(term, row, n)
-        error = (1 / (1 + np.exp(-np.clip(raw, -35, 35))) - label) / n
-        e = error[row]
-        g_v = np.stack([np.bincount(term, e * (total[row, f] - v[:, f]), m) for f in range(FACTORS)], 1)
-        grads = [np.array(error.sum()), np.bincount(term, e, m) + decay * model.weight, g_v + decay * model.factor]
-        steps = []
+        bias, weight, factor = params
+        total = x @ factor
+        raw = bias + x @ weight + 0.5 * ((total * total).sum(1) - (x @ (factor * factor)).sum(1))
+        error = ((1 / (1 + np.exp(-np.clip(raw, -35, 35))) - label) / n).astype(np.float32)
+        by_term = error @ x
+        grads = [error.sum(), by_term + decay * weight, (x.T @ (error[:, None] * total)) - by_term[:, None] * factor + decay * factor]
         for k, g in enumerate(grads):
-            state[k] = 0.9 * state[k] + 0.1 * g
+            mean[k] = 0.9 * mean[k] + 0.1 * g
             square[k] = 0.999 * square[k] + 0.001 * g * g
-            steps.append(rate * (state[k] / (1 - 0.9**t)) / (np.sqrt(square[k] / (1 - 0.999**t)) + 1e-8))
-        model = Machine(known, model.bias - float(steps[0]), model.weight - steps[1], model.factor - 0.25 * steps[2])
-    return model
+            step = rate * (mean[k] / (1 - 0.9**t)) / (np.sqrt(square[k] / (1 - 0.999**t)) + 1e-8)
+            params[k] = params[k] - (0.25 if k == 2 else 1) * step
+    return Machine(known, float(params[0]), params[1].astype(float), params[2].astype(float))
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
@@ -205,13 +205,15 @@ def score(documents: DataFrame, machine: Machine, column: str = "score") -> Data
     score of a text without terms. All columns stay; one of the name `column`
     is replaced."""
     rest = [c for c in documents.columns if c != column]
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col("text").cast("string").alias("text"))
+    # the text goes along inside the row, once
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
     sent = documents.sparkSession.sparkContext.broadcast(machine)  # at most TERMS terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value.score(texts), pa.float64())], names=["row", "score"])
+            texts = batch.column(0).field("text").cast(pa.string())
+            scores = np.concatenate([np.zeros(0), *(sent.value.score([t or "" for t in texts.slice(k, 1000).to_pylist()]) for k in range(0, len(texts), 1000))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
 
     schema = packed.select("row", F.lit(0.0).alias("score")).schema
     return packed.mapInArrow(run, schema).select("row.*", F.col("score").alias(column))
