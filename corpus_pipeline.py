@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from gramwright.llm import common, decontaminate, line_dedup, near_dedup, packing, toxicity
 from gramwright.llm.tokens import vocabulary
 
+#: Words that a worker remembers while packing: it also has the other stages to hold.
+WORDS = 150_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored at THRESHOLD or more go. The machine is trained on the
@@ -45,7 +48,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), memory=WORDS)
 
 
 STAGES = [

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 NO_ID = 2**63 - 1
 
 #: Bytes of text handled by one numpy pass; a longer text makes a pass alone.
-PASS_BYTES = 1 << 21
+PASS_BYTES = 1 << 19
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True

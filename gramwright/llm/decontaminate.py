@@ -23,6 +23,8 @@ WINDOW = 8
 LEAST_ITEMS = 2
 #: Bytes of benchmark text sent to the tasks at once; more makes more passes.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text of a shard; a longer text is a shard of its own.
+SHARD_BYTES = 1 << 21
 
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[0x30:0x3A] = SEPARATOR[0x61:0x7B] = SEPARATOR[0x80:] = False
@@ -140,7 +142,7 @@ class Shard:
 
 
 def _shards(texts: list[bytes], test: TestSet) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Shard]]:
-    for lo, hi in slices(texts):
+    for lo, hi in slices(texts, SHARD_BYTES):
         words, owner = _words(texts[lo:hi])
         yield lo, hi, words, owner, Shard(words, owner, test)
 
@@ -197,10 +199,12 @@ def _pass(rows: list[tuple[str, bytes]]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = TestSet(rows)
         for batch in batches:
+            row = batch.column("row")
+            texts = utf8(row.field("text").cast(pa.string()) if pa.types.is_struct(row.type) else batch.column("text"))
             before = batch.column("hit").to_pylist()
             names = batch.column("items").to_pylist()
             n_words, n_hit, masks = [], [], []
-            for k, (mask, who) in enumerate(_hits(utf8(batch.column("text")), test)):
+            for k, (mask, who) in enumerate(_hits(texts, test)):
                 if before[k] is not None:
                     mask = mask | np.unpackbits(np.frombuffer(before[k], np.uint8), count=len(mask)).astype(bool)
                 n_words.append(len(mask))
@@ -217,7 +221,7 @@ def _judged(documents: DataFrame, benchmark: DataFrame, keep_row: bool) -> DataF
     """doc_id, n_words, n_hit and the distinct items of each row, with the row."""
     null = F.lit(None)
     df = documents.select(
-        (F.struct("*") if keep_row else null.cast("int")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        (F.struct("*") if keep_row else null.cast("int")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), (null.cast("string") if keep_row else F.col("text").cast("string")).alias("text"),
         null.cast("binary").alias("hit"), null.cast("array<string>").alias("items"), null.cast("long").alias("n_words"), null.cast("long").alias("n_hit"),
     )
     for rows in blocks(benchmark):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import encoder, vocabulary
+from .tokens import MEMORY, encoder, vocabulary
 
 CAPACITY = 2048
 END = 1
@@ -67,7 +67,7 @@ def assign(lengths: np.ndarray, capacity: int = CAPACITY, linear: float = LINEAR
     return pieces
 
 
-def pack(documents: DataFrame, tokenizer: str, end: int = END, capacity: int = CAPACITY, block_tokens: int = BLOCK_TOKENS, with_ids: bool = False) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, end: int = END, capacity: int = CAPACITY, block_tokens: int = BLOCK_TOKENS, with_ids: bool = False, memory: int = MEMORY) -> DataFrame:
     """One row per piece; with_ids adds its ids as little-endian u32.
 
     Null texts are empty and give the end id alone. Null doc_ids stay null;
@@ -77,7 +77,7 @@ def pack(documents: DataFrame, tokenizer: str, end: int = END, capacity: int = C
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, memory)
         last = end.to_bytes(encode.width, "little")
         part, number, size = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[int | None, bytes]] = []

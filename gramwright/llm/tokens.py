@@ -16,7 +16,8 @@ from array import array
 
 import numpy as np
 
-#: Distinct words remembered by a worker; beyond it, the memory is emptied.
+#: Distinct words, and pieces of words, that a worker remembers, at about 200
+#: bytes each; beyond it, the memory is emptied.
 MEMORY = 600_000
 
 #: White space and controls on which regular expression engines disagree.
@@ -146,15 +147,15 @@ class WordEncoder:
         return np.frombuffer(packed, "<u2" if self.width == 2 else "<u4")
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, memory: int = MEMORY) -> WordEncoder:
     """The worker's encoder for a vocabulary file; its memory lasts from task to task."""
-    if path not in _encoders:
+    if (path, memory) not in _encoders:
         _encoders.clear()
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+        _encoders[path, memory] = WordEncoder(path, memory)
+    return _encoders[path, memory]
 
 
 def vocabulary(name: str) -> str:
