@@ -17,6 +17,9 @@ from gramwright.llm.tokens import vocabulary
 #: Words that a worker remembers while packing: it also has the other stages to hold.
 WORDS = 150_000
 
+#: Least similarity of near copies in the corpus, in hundredths; op1's own is near_dedup.LINK.
+NEAR = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored at THRESHOLD or more go. The machine is trained on the
@@ -38,8 +41,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group stays."""
-    gone = near_dedup.link_components(docs).where("doc <> component").select("doc").distinct()
+    """The document of the smallest doc_id of each group linked at NEAR stays."""
+    gone = near_dedup.link_components(docs, NEAR).where("doc <> component").select("doc").distinct()
     return common.without(docs, common.materialise(gone, "near-copies"))
 
 

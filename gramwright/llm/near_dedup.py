@@ -33,9 +33,11 @@ from .components import connected
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 BINS, BITS = 512, 1024
-#: Least similarity of a link, in hundredths.
+#: Least similarity of a link, in hundredths, if the caller names no other.
 LINK = 85
-#: A pair is dropped if its sketches' similarity is this many deviations under LINK.
+#: Bands, and rows of each, for a least similarity: at it, all bands miss with a chance of 1e-6 at most.
+BANDING = {85: (BANDS, ROWS), 80: (27, 4)}
+#: A pair is dropped if its sketches' similarity is this many deviations under the threshold.
 DEVIATIONS = 5
 #: Members of a tile's side, and shingles of all of them.
 TILE, TILE_SHINGLES = 1024, 1 << 20
@@ -74,14 +76,15 @@ def shingles(texts: list[bytes], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
     return h[new], o[new]
 
 
-def signatures(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+def signatures(texts: list[bytes], link: int = LINK) -> tuple[np.ndarray, ...]:
     """n_shingles, two digests of the set, bands, sketches, samples; rows of
     texts without words are zero."""
     n = len(texts)
+    n_bands, n_rows = BANDING[link]
     h, owner = shingles(texts)
     size = np.bincount(owner, minlength=n)
     digest = np.zeros((2, n), np.uint64)
-    bands = np.zeros((n, BANDS), np.uint64)
+    bands = np.zeros((n, n_bands), np.uint64)
     sketch = np.zeros((n, WIDTH), np.uint64)
     samples = np.zeros(n, np.int64)
     rows = np.flatnonzero(size)
@@ -91,9 +94,9 @@ def signatures(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     for k in (0, 1):
         digest[k, rows] = mix(np.add.reduceat(mix(h + np.uint64(k + 1)), start) + size[rows].astype(np.uint64))
     short = (h >> np.uint64(32)).astype(np.uint32)
-    for b in range(BANDS):
+    for b in range(n_bands):
         key = np.full(len(rows), b + 1, np.uint64)
-        for k in range(b * ROWS, (b + 1) * ROWS):
+        for k in range(b * n_rows, (b + 1) * n_rows):
             least = np.minimum.reduceat((short ^ _XOR[k]) * _MUL[k], start)
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least)
         bands[rows, b] = key
@@ -119,17 +122,17 @@ def _lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), flat)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], link: int = LINK) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, ids = utf8(batch.column(1)), batch.column(0)
         for lo, hi in slices(texts):
-            size, digest, bands, sketch, samples = signatures(texts[lo:hi])
+            size, digest, bands, sketch, samples = signatures(texts[lo:hi], link)
             columns = [ids.slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(_signed(digest[0])), pa.array(_signed(digest[1])), _lists(bands), _lists(sketch), pa.array(samples, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_shingles", "set_a", "set_b", "bands", "sketch", "samples"])
 
 
-def shortfall(apart, either, samples, sizes, m):
-    """How far, in deviations, a pair's sketches put it under LINK, by parities
+def shortfall(apart, either, samples, sizes, m, link=LINK):
+    """How far, in deviations, a pair's sketches put it under link, by parities
     that differ and bins taken in either. m has log, sqrt, exp, least and
     greatest, of numpy or of columns.
 
@@ -141,10 +144,10 @@ def shortfall(apart, either, samples, sizes, m):
     differ = -BITS / 2 * m.log(1 - 2 * m.least(apart, BITS / 2 - 1) / BITS)
     found = (sa + sb - differ) / 2 / either
     left_out = 1 - m.least(sa / na, sb / nb)
-    at = m.greatest(sa + sb - 2 * LINK / 100 * either, 1.0)
+    at = m.greatest(sa + sb - 2 * link / 100 * either, 1.0)
     e = m.exp(-4 * at / BITS)
-    spread = LINK / 100 * (1 - LINK / 100) * left_out / either + (BITS / 4 * (1 - e) - at * e) / e / 4 / (either * either)
-    return (LINK / 100 - found - 1 / either) / m.sqrt(spread + 1e-12)
+    spread = link / 100 * (1 - link / 100) * left_out / either + (BITS / 4 * (1 - e) - at * e) / e / 4 / (either * either)
+    return (link / 100 - found - 1 / either) / m.sqrt(spread + 1e-12)
 
 
 class _Numpy:
@@ -157,17 +160,17 @@ class _Columns:
     greatest = staticmethod(lambda a, b: F.greatest(a, b if hasattr(b, "cast") else F.lit(float(b))))
 
 
-def _near(columns: tuple[str, str]):
+def _near(columns: tuple[str, str], link: int):
     a, b = columns
     bits = lambda xs: F.aggregate(xs, F.lit(0), lambda t, x: t + F.bit_count(x)).cast("double")
     part = lambda s, at, n: F.slice(f"sketch_{s}", at, n)
     apart = bits(F.zip_with(part(a, 1, PARITY), part(b, 1, PARITY), lambda x, y: x.bitwiseXOR(y)))
     either = bits(F.zip_with(part(a, PARITY + 1, WIDTH - PARITY), part(b, PARITY + 1, WIDTH - PARITY), lambda x, y: x.bitwiseOR(y)))
     number = lambda name: (F.col(f"{name}_{a}").cast("double"), F.col(f"{name}_{b}").cast("double"))
-    return shortfall(apart, either, number("samples"), number("n_shingles"), _Columns) <= DEVIATIONS
+    return shortfall(apart, either, number("samples"), number("n_shingles"), _Columns, link) <= DEVIATIONS
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], link: int = LINK) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         left, right = utf8(batch.column(2)), utf8(batch.column(3))
@@ -184,7 +187,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(len(a)):
             x, y = sets[place[left[k]]], sets[place[right[k]]]
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= LINK * (len(x) + len(y) - both) and both > 0)
+            keep.append(100 * both >= link * (len(x) + len(y) - both) and both > 0)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -204,30 +207,30 @@ def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "slot long, doc long, text string").drop("slot").join(ids, "doc")
 
 
-def confirm(pairs: DataFrame, reps: DataFrame, documents: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, reps: DataFrame, documents: DataFrame, link: int = LINK) -> DataFrame:
     """Those of the pairs (a, b) that are links: sketches first, then full sets."""
     side = lambda s: reps.select(F.col("doc").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("sketch", "samples", "n_shingles")))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_near(("a", "b"))).select("a", "b")
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_near(("a", "b"), link)).select("a", "b")
     near = common.materialise(near, "near-pairs")
     ids = near.select(F.col("a").alias("doc")).union(near.select(F.col("b").alias("doc"))).distinct()
     texts = common.materialise(texts_of(documents, ids), "near-texts")
     named = lambda s: texts.select(F.col("doc").alias(s), F.col("text").alias(f"text_{s}"))
     both = near.join(named("a"), "a").join(named("b"), "b").select("a", "b", "text_a", "text_b")
-    return common.materialise(both.mapInArrow(_compare, "a long, b long").distinct(), "near-links")
+    return common.materialise(both.mapInArrow(lambda batches: _compare(batches, link), "a long, b long").distinct(), "near-links")
 
 
-def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+def _linked(x: np.ndarray, y: np.ndarray, link: int) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return both > 0 and 100 * both >= LINK * (len(x) + len(y) - both)
+    return both > 0 and 100 * both >= link * (len(x) + len(y) - both)
 
 
-def _tile(table: pa.Table) -> pa.Table:
+def _tile(table: pa.Table, link: int = LINK) -> pa.Table:
     """Links of one tile between components that it has not yet joined, of
     members that were not together in an earlier band."""
     n = table.num_rows
     doc, comp, block, samples = (table.column(c).to_numpy() for c in ("doc", "comp", "block", "samples"))
     wide = lambda c, w: table.column(c).combine_chunks().flatten().to_numpy().reshape(n, w)
-    sketch, bands = wide("sketch", WIDTH).view(np.uint64), wide("bands", BANDS)
+    sketch, bands = wide("sketch", WIDTH).view(np.uint64), wide("bands", BANDING[link][0])
     sets = table.column("shingles").combine_chunks()
     size = sets.value_lengths().to_numpy().astype(float)
     held = np.split(sets.flatten().to_numpy().view(np.uint64), np.cumsum(size.astype(int))[:-1])
@@ -242,11 +245,11 @@ def _tile(table: pa.Table) -> pa.Table:
             continue
         apart = np.bitwise_count(sketch[y, :PARITY] ^ sketch[x, :PARITY]).sum(1).astype(float)
         either = np.bitwise_count(sketch[y, PARITY:] | sketch[x, PARITY:]).sum(1).astype(float)
-        under = shortfall(apart, either, (samples[y], samples[x]), (size[y], size[x]), _Numpy)
+        under = shortfall(apart, either, (samples[y], samples[x]), (size[y], size[x]), _Numpy, link)
         order = np.argsort(under, kind="stable")
         y = y[order][under[order] <= DEVIATIONS]
         for k in y[~(bands[y, :band] == bands[x, :band]).any(1)]:
-            if comp[k] != comp[x] and _linked(held[k], held[x]):
+            if comp[k] != comp[x] and _linked(held[k], held[x], link):
                 out.append(sorted((int(doc[k]), int(doc[x]))))
                 comp[comp == comp[k]] = comp[x]
     return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
@@ -261,8 +264,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(bounds), pa.array(_signed(h)))], names=["doc", "shingles"])
 
 
-def link_components(documents: DataFrame) -> DataFrame:
-    """doc (key), n_shingles, component (key): a row per document.
+def link_components(documents: DataFrame, link: int = LINK) -> DataFrame:
+    """doc (key), n_shingles, component (key): a row per document. Documents
+    whose shingle sets have a similarity of link hundredths or more are linked;
+    link is a key of BANDING.
 
     Sets of texts without words are empty and linked with nothing; a null text
     has none. Rows without a doc_id are one document, NO_ID; rows with the same
@@ -270,7 +275,7 @@ def link_components(documents: DataFrame) -> DataFrame:
     ignored.
     """
     rows = documents.select(common.doc_key().alias("doc"), F.col("text").cast("string").alias("text"))
-    signed = common.materialise(rows.mapInArrow(_sign, SIGNATURE), "signatures")
+    signed = common.materialise(rows.mapInArrow(lambda batches: _sign(batches, link), SIGNATURE), "signatures")
     # equal sets have equal bands and sketches: any member's will do
     classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in ("bands", "sketch", "samples", "n_shingles")))
     reps = common.materialise(classes, "classes")
@@ -279,7 +284,7 @@ def link_components(documents: DataFrame) -> DataFrame:
     leaders = members.groupBy("key").agg(F.count("*").alias("n"), parts.alias("parts"), F.min(F.struct(F.xxhash64("doc", "key").alias("h"), "doc"))["doc"].alias("leader")).where("n > 1")
     met = common.materialise(members.join(leaders, "key").select("key", "band", "doc", "leader", "n", "parts"), "buckets")
     stars = common.materialise(met.where("doc <> leader").select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct(), "stars")
-    links = confirm(stars, reps, documents)
+    links = confirm(stars, reps, documents, link)
     found = connected(links)
 
     # buckets of three and more that still hold several components
@@ -291,7 +296,7 @@ def link_components(documents: DataFrame) -> DataFrame:
     tiles = at.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles = tiles.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(reps.select("doc", "bands", "sketch", "samples"), "doc").join(sets, "doc")
     tiles = tiles.select("key", "band", "doc", "comp", "block", "i", "j", "bands", "sketch", "samples", "shingles")
-    more = common.materialise(tiles.groupBy("key", "i", "j").applyInArrow(_tile, "a long, b long").distinct(), "tile-links")
+    more = common.materialise(tiles.groupBy("key", "i", "j").applyInArrow(lambda tile: _tile(tile, link), "a long, b long").distinct(), "tile-links")
     found = connected(links.union(more))
     of_class = reps.select("set_a", "set_b", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("set_a", "set_b", F.coalesce("component", "doc").alias("component"))
     out = signed.select("doc", "n_shingles", "set_a", "set_b").join(of_class.groupBy("set_a", "set_b").agg(F.min("component").alias("component")), ["set_a", "set_b"], "left")
