@@ -29,6 +29,8 @@ SAMPLE = 16_384
 TERMS = 1_500
 #: Toxic rows of the sample that a term must occur in.
 LEAST_ROWS = 3
+#: Counts that a task hands over at once.
+COUNTS = 1 << 16
 FACTORS = 8
 ROUNDS = 160
 THRESHOLD = 0.3
@@ -156,7 +158,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mach
     rows = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((3, BUCKETS), np.int64)
+        totals = np.zeros((2, BUCKETS), np.int64)
         n = np.zeros(2, np.int64)
         for batch in batches:
             y = np.array(batch.column(1).to_pylist(), np.int64)
@@ -166,17 +168,19 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mach
                 for k in (0, 1):
                     totals[k] += np.bincount(bucket[y[lo:hi][owner] == k], minlength=BUCKETS)
                     n[k] += (y[lo:hi] == k).sum()
-        kept = np.flatnonzero(totals[1])
+        # a term's clean rows count wherever they are, with toxic rows in the same task or not
+        kept = np.flatnonzero(totals[0] + totals[1])
         # the bucket one past the last holds the number of rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, BUCKETS)), pa.array(np.append(totals[0][kept], n[0])), pa.array(np.append(totals[1][kept], n[1]))], names=["bucket", "clean", "toxic"])
+        columns = np.append(kept, BUCKETS), np.append(totals[0][kept], n[0]), np.append(totals[1][kept], n[1])
+        for k in range(0, len(kept) + 1, COUNTS):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + COUNTS]) for c in columns], names=["bucket", "clean", "toxic"])
 
     counts = rows.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = common.materialise(counts, "toxic-terms")
+    counts = common.materialise(counts.where((F.col("bucket") == BUCKETS) | (F.col("toxic") >= LEAST_ROWS)), "toxic-terms")
     size = counts.where(F.col("bucket") == BUCKETS).first()
     n_clean, n_toxic = (size["clean"], size["toxic"]) if size else (0, 0)
-    # clean rows were counted by tasks that saw the term in a toxic row; others add none
     gain = F.col("toxic") * F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0) / ((F.col("clean") + 0.5) / (n_clean + 1.0)))
-    best = counts.where((F.col("bucket") < BUCKETS) & (F.col("toxic") >= LEAST_ROWS)).select("bucket", gain.alias("gain")).where("gain > 0").orderBy(F.desc("gain"), "bucket").limit(TERMS)
+    best = counts.where(F.col("bucket") < BUCKETS).select("bucket", gain.alias("gain")).where("gain > 0").orderBy(F.desc("gain"), "bucket").limit(TERMS)
     known = np.array(sorted(r["bucket"] for r in best.collect()), np.int64)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
