@@ -41,9 +41,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group linked at NEAR stays."""
-    gone = near_dedup.link_components(docs, NEAR).where("doc <> component").select("doc").distinct()
-    return common.without(docs, common.materialise(gone, "near-copies"))
+    """The row of the smallest doc_id of each group linked at NEAR stays; rows
+    without a doc_id come after all others. Rows are linked one by one, by a key
+    of their own: what a row's doc_id shares with other rows does not matter."""
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    # written once, so that the keys stay the same
+    keyed = common.materialise(docs.withColumn(name, F.monotonically_increasing_id()), "keyed-rows")
+    linked = near_dedup.link_components(keyed.select(F.col(name).alias("doc_id"), "text"), NEAR)
+    others = common.materialise(linked.where("doc <> component").select("doc", "component"), "near-copies")
+    members = others.unionByName(others.select(F.col("component").alias("doc"), "component").distinct())
+    ids = keyed.select(F.col(name).alias("doc"), common.doc_key().alias("id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    heads = members.join(ids, "doc").groupBy("component").agg(F.min(F.struct("id", "text_hash", "doc"))["doc"].alias("doc"))
+    gone = members.select("doc").join(heads.select("doc"), "doc", "left_anti")
+    return common.without(keyed, common.materialise(gone, "near-gone"), key=name).drop(name)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -139,12 +139,12 @@ def doc_slot(column: str, bits: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(bits))
 
 
-def without(docs: DataFrame, gone: DataFrame, bits: int = 1 << 25) -> DataFrame:
-    """docs, all columns, without the rows whose doc_key() is in gone (column
+def without(docs: DataFrame, gone: DataFrame, bits: int = 1 << 25, key: str = "doc_id") -> DataFrame:
+    """docs, all columns, without the rows whose doc_key(key) is in gone (column
     doc). Rows that a map of fixed size rules out stay where they are; only
     the others are joined."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(doc_slot("doc", bits).alias("slot")), bits))
-    rows = docs.select(F.struct("*").alias("row"), doc_key().alias("doc")).select("row", "doc", doc_slot("doc", bits).alias("slot"))
+    rows = docs.select(F.struct("*").alias("row"), doc_key(key).alias("doc")).select("row", "doc", doc_slot("doc", bits).alias("slot"))
 
     def part(hit: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,3 +44,14 @@ def test_sketches_and_bands_keep_what_0_80_links():
             missed += under > near_dedup.DEVIATIONS or not (bands[0] == bands[1]).any()
     assert seen > 20 and not missed
     assert all((1 - (link / 100) ** rows) ** n <= 1e-6 and n * rows <= len(near_dedup._XOR) for link, (n, rows) in near_dedup.BANDING.items())
+
+
+def test_near_copies_go_by_row(spark):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcde")
+    rows = [(None, a, 0), (None, b, 1), (3, a, 2), (5, a, 3), (5, c, 4), (7, d, 5), (7, d, 6), (None, e, 7), (None, e, 8), (2, "", 9), (2, None, 10), (1, a, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key int")
+    got = pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = [r["row_key"] for r in got.collect()]
+    assert len(kept) == len(set(kept)) and {1, 4, 9, 10, 11} <= set(kept)
+    assert len({5, 6} & set(kept)) == len({7, 8} & set(kept)) == 1 and len(kept) == 7
