@@ -26,7 +26,7 @@ BUCKETS = 1 << 20
 #: Bound on labelled rows used for training.
 SAMPLE = 16_384
 #: Bound on the terms that the machine knows.
-TERMS = 1_500
+TERMS = 3_000
 #: Toxic rows of the sample that a term must occur in.
 LEAST_ROWS = 3
 #: Counts that a task hands over at once.

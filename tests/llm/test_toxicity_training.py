@@ -16,3 +16,10 @@ def test_partitions_do_not_change_the_machine(spark):
     for other in machines[1:]:
         assert np.array_equal(machines[0].known, other.known)
         assert np.array_equal(machines[0].weight, other.weight) and np.array_equal(machines[0].factor, other.factor)
+
+
+def test_3000_terms_are_known(spark):
+    # each group of six toxic rows has terms of its own, far more than 3,000 in all
+    rows = [(6 * k + c, " ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}{chr(97 + j)}zor" for j in range(20)), 1) for k in range(100) for c in range(6)] + [(1000 + k, "calm words", 0) for k in range(1500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert len(toxicity.train(table.select("doc_id", "text"), table.select("doc_id", "toxic")).known) == 3000
