@@ -101,12 +101,14 @@ def format_conversations(messages: DataFrame, schemas: Schemas = REPLY) -> DataF
     assistant turn right after it its result, and a call waits for the call two
     turns before if that has a result. All other turns are plain messages.
 
-    Repeated rows of a turn and role stand once, with their least text. Null
-    conv_id, turn or role: a plain message. Other columns are ignored.
+    Rows equal in text too stand once. Of different texts of a turn and role the
+    least one is the call or result; the others are plain messages, which the SQL
+    leaves out. Null conv_id, turn or role: a plain message. Other columns are
+    ignored.
     """
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    rows = rows.groupBy("conv_id", "turn", "role").agg(F.min("text").alias("text"))
-    rows = common.materialise(rows, "turns")
+    texts = common.materialise(rows.distinct(), "texts")
+    rows = common.materialise(texts.groupBy("conv_id", "turn", "role").agg(F.min("text").alias("text")), "turns")
     placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     name = lambda turn: F.concat(F.lit("c"), turn.cast("string"))
     users = rows.where(placed & (F.col("role") == "user"))
@@ -118,7 +120,9 @@ def format_conversations(messages: DataFrame, schemas: Schemas = REPLY) -> DataF
     linked = link(calls, results, schemas)
     told = linked.select("conv_id", "turn", F.when(F.col("kind") == "call", "user").otherwise("assistant").alias("role"))
     same = lambda c: F.col(f"m.{c}").eqNullSafe(F.col(f"t.{c}"))
-    plain = rows.alias("m").join(told.alias("t"), reduce(lambda a, b: a & b, map(same, ("conv_id", "turn", "role"))), "left_anti")
+    left = lambda a, b, columns: a.alias("m").join(b.alias("t"), reduce(lambda x, y: x & y, map(same, columns)), "left_anti")
+    further = left(texts, rows, ("conv_id", "turn", "role", "text"))
+    plain = left(rows, told, ("conv_id", "turn", "role")).unionByName(further)
     plain = plain.select(
         "conv_id", "turn", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("int").alias("depth"), F.lit(False).alias("linked"),
         F.array().cast("array<string>").alias("faults"), F.to_json(F.struct(F.col("text").alias("content"), "role", F.lit("message").alias("type"))).alias("json"),
