@@ -1,8 +1,9 @@
-"""Verbatim passages that occur before: prefix doubling over sorted positions.
+"""Verbatim passages that occur before, by anchored fingerprints.
 
-A byte is removed if a string of LENGTH bytes over it also starts earlier. The
-ranks of positions are doubled as in the building of a suffix array, but a
-position leaves as soon as its rank tells its fate, and positions that must
+A byte is removed if a string of LENGTH bytes over it also starts earlier. This
+stands in place of prefix doubling, which would sort a row per position at each
+offset: no ranks are sorted or doubled, and a rank below is a hash of bytes.
+A position leaves as soon as a hash tells its fate, and positions that must
 share it travel as one:
 
 1. Each string of LENGTH bytes names one of its ANCHOR-byte grams, the least by
