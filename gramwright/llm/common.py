@@ -3,8 +3,9 @@ shared folder, and numpy routines over the bytes of many texts at once."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,9 @@ NO_ID = 2**63 - 1
 #: Bytes of text handled by one numpy pass; a longer text makes a pass alone.
 PASS_BYTES = 1 << 19
 
+#: Most bytes of a batch that goes to a Python worker; a longer row makes a batch alone.
+BATCH_BYTES = 4 << 20
+
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -50,13 +54,56 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Writes df in the shared folder and reads it again: lineage is cut, and
-    the copy outlives any executor."""
+    the copy outlives any executor. What is small against what it was read from
+    is brought together first: a scan would write a small file from each task."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if small:
+        df = df.hint("rebalance")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what materialise wrote, once nothing reads it any more."""
+    for df in tables:
+        session = df.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(session._jsc.sc().hadoopConfiguration()).delete(path, True)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches hold BATCH_BYTES at most, not 10,000 rows however long they are.
+    A lower bound that the session has stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits = spark.conf.get(name).lower().removesuffix("b")
+    if not digits.isdigit() or not 0 < int(digits) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Memory that a worker no longer uses goes back to the system: workers
+    stay for later tasks, and would keep the most that any task took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow in batches of bounded size."""
+    bound_batches(df.sparkSession)
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidied, schema)
 
 
 def slices(texts: list[bytes], limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
@@ -139,18 +186,33 @@ def doc_slot(column: str, bits: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(bits))
 
 
+def mapped(spark: SparkSession, slots: DataFrame, bits: int) -> Callable[[Column], Column]:
+    """Whether a slot is set in a map of `bits` bits with those of column slot
+    set, as a column: only the slots go through Python."""
+    bound_batches(spark)
+    sent = spark.sparkContext.broadcast(bitmap(slots, bits))
+
+    @F.arrow_udf("boolean")
+    def test(slot: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(sent.value, slot.to_numpy(zero_copy_only=False)))
+
+    return test
+
+
+def split_by(docs: DataFrame, ids: DataFrame, bits: int = 1 << 25, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """row (all columns) and doc (doc_key) of the rows that may be in ids (column
+    doc), and of those that surely are not, by a map of fixed size. It stops to
+    help, but not to be right, once ids are many against its bits."""
+    test = mapped(docs.sparkSession, ids.select(doc_slot("doc", bits).alias("slot")), bits)
+    rows = docs.select(F.struct("*").alias("row"), doc_key(key).alias("doc"))
+    hit = test(doc_slot("doc", bits))
+    return rows.where(hit), rows.where(~hit)
+
+
 def without(docs: DataFrame, gone: DataFrame, bits: int = 1 << 25, key: str = "doc_id") -> DataFrame:
     """docs, all columns, without the rows whose doc_key(key) is in gone (column
     doc). Rows that a map of fixed size rules out stay where they are; only
     the others are joined."""
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(doc_slot("doc", bits).alias("slot")), bits))
-    rows = docs.select(F.struct("*").alias("row"), doc_key(key).alias("doc")).select("row", "doc", doc_slot("doc", bits).alias("slot"))
-
-    def part(hit: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(in_bitmap(sent.value, batch.column(2).to_numpy()) == hit))
-
-        return rows.mapInArrow(run, rows.schema)
-
-    return part(False).select("row.*").unionByName(part(True).join(gone, "doc", "left_anti").select("row.*"))
+    may, others = split_by(docs, gone, bits, key)
+    # what a join leaves of them are mistakes of the map: few
+    return others.select("row.*").unionByName(may.join(gone, "doc", "left_anti").select("row.*").hint("rebalance"))

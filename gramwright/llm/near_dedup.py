@@ -195,16 +195,8 @@ def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """doc and text of the documents in ids. A bitmap of fixed size leaves most
     others out before the join, while ids are few against its size; the join is
     what decides."""
-    wanted = common.bitmap(ids.select(common.doc_slot("doc", WANTED_BITS).alias("slot")), WANTED_BITS)
-    sent = documents.sparkSession.sparkContext.broadcast(wanted)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(common.in_bitmap(sent.value, batch.column(0).to_numpy())))
-
-    rows = documents.select(common.doc_key().alias("doc"), F.col("text").cast("string").alias("text"))
-    rows = rows.select(common.doc_slot("doc", WANTED_BITS).alias("slot"), "doc", "text")
-    return rows.mapInArrow(run, "slot long, doc long, text string").drop("slot").join(ids, "doc")
+    may, _ = common.split_by(documents.select("doc_id", F.col("text").cast("string").alias("text")), ids, WANTED_BITS)
+    return may.select("doc", "row.text").join(ids, "doc")
 
 
 def confirm(pairs: DataFrame, reps: DataFrame, documents: DataFrame, link: int = LINK) -> DataFrame:
@@ -213,10 +205,10 @@ def confirm(pairs: DataFrame, reps: DataFrame, documents: DataFrame, link: int =
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(_near(("a", "b"), link)).select("a", "b")
     near = common.materialise(near, "near-pairs")
     ids = near.select(F.col("a").alias("doc")).union(near.select(F.col("b").alias("doc"))).distinct()
-    texts = common.materialise(texts_of(documents, ids), "near-texts")
+    texts = common.materialise(texts_of(documents, ids), "near-texts", small=True)
     named = lambda s: texts.select(F.col("doc").alias(s), F.col("text").alias(f"text_{s}"))
     both = near.join(named("a"), "a").join(named("b"), "b").select("a", "b", "text_a", "text_b")
-    return common.materialise(both.mapInArrow(lambda batches: _compare(batches, link), "a long, b long").distinct(), "near-links")
+    return common.materialise(common.map_batches(both, lambda batches: _compare(batches, link), "a long, b long").distinct(), "near-links")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, link: int) -> bool:
@@ -275,7 +267,7 @@ def link_components(documents: DataFrame, link: int = LINK) -> DataFrame:
     ignored.
     """
     rows = documents.select(common.doc_key().alias("doc"), F.col("text").cast("string").alias("text"))
-    signed = common.materialise(rows.mapInArrow(lambda batches: _sign(batches, link), SIGNATURE), "signatures")
+    signed = common.materialise(common.map_batches(rows, lambda batches: _sign(batches, link), SIGNATURE), "signatures")
     # equal sets have equal bands and sketches: any member's will do
     classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in ("bands", "sketch", "samples", "n_shingles")))
     reps = common.materialise(classes, "classes")
@@ -291,7 +283,7 @@ def link_components(documents: DataFrame, link: int = LINK) -> DataFrame:
     at = met.where("n > 2").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
     mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     at = common.materialise(at.join(mixed, "key"), "mixed-buckets")
-    sets = common.materialise(texts_of(documents, at.select("doc").distinct()).mapInArrow(_sets, "doc long, shingles array<long>"), "mixed-sets")
+    sets = common.materialise(common.map_batches(texts_of(documents, at.select("doc").distinct()), _sets, "doc long, shingles array<long>"), "mixed-sets", small=True)
     block = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
     tiles = at.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles = tiles.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(reps.select("doc", "bands", "sketch", "samples"), "doc").join(sets, "doc")
@@ -299,7 +291,9 @@ def link_components(documents: DataFrame, link: int = LINK) -> DataFrame:
     more = common.materialise(tiles.groupBy("key", "i", "j").applyInArrow(lambda tile: _tile(tile, link), "a long, b long").distinct(), "tile-links")
     found = connected(links.union(more))
     of_class = reps.select("set_a", "set_b", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("set_a", "set_b", F.coalesce("component", "doc").alias("component"))
-    out = signed.select("doc", "n_shingles", "set_a", "set_b").join(of_class.groupBy("set_a", "set_b").agg(F.min("component").alias("component")), ["set_a", "set_b"], "left")
+    # written first: a join of two plain tables can be split where one set has many documents
+    of_class = common.materialise(of_class, "class-components")
+    out = signed.select("doc", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"], "left")
     return out.select("doc", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc")).alias("component"))
 
 

@@ -108,7 +108,7 @@ def pack(documents: DataFrame, tokenizer: str, end: int = END, capacity: int = C
             yield emit()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA + (", ids binary" if with_ids else ""))
+    return common.map_batches(rows, run, SCHEMA + (", ids binary" if with_ids else ""))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
