@@ -4,9 +4,13 @@ A text's terms are its words, the first bytes of its words, and pairs of words
 that follow each other, all hashed into BUCKETS. The machine adds a weight for
 each present term and, for each pair of present terms, the product of their
 factors: an insult beside a mention of a group can count for more than both.
-It is trained on at most SAMPLE labelled rows that are not held out, taken by
-the hash of their id; the terms it knows are the TERMS that tell most. Every
-row is scored where it is read: there is no shuffle of documents.
+Every bucket has a weight and factors. A present term counts as much as its
+share among toxic rows departs from chance (Machine.scale), so that thousands
+of neutral terms don't drown a few that tell. It is trained on at most SAMPLE
+labelled rows that are not held out, taken by the hash of their id, on the
+driver, in an order that depends on the ids alone: however documents are dealt
+over partitions, the same rows give the same machine. Every row is scored where
+it is read, and only texts go through Python: there is no shuffle of documents.
 """
 
 from __future__ import annotations
@@ -25,25 +29,21 @@ from .common import BYTE_VALUE, mix, slices
 BUCKETS = 1 << 20
 #: Bound on labelled rows used for training.
 SAMPLE = 16_384
-#: Bound on the terms that the machine knows.
-TERMS = 3_000
-#: Toxic rows of the sample that a term must occur in.
-LEAST_ROWS = 3
-#: Counts that a task hands over at once.
-COUNTS = 1 << 16
 FACTORS = 8
-ROUNDS = 160
+ROUNDS = 4
+#: Rows of a step of training.
+STEP_ROWS = 256
+#: Squared deviations at which a term counts by half.
+DOUBT = 40.0
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)
 
 #: Bytes of a word's start that make a term of their own.
-STARTS = (4, 5, 6, 7, 8, 9)
+STARTS = (4, 5, 7)
 
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[0x61:0x7B] = SEPARATOR[0x80:] = False
 
-SCORES = "doc_id long, score double"
-
 
 def held_out(column: str = "doc_id"):
     n, k = HELD_OUT
@@ -81,146 +81,134 @@ def distinct(bucket: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndar
     return pair % BUCKETS, pair // BUCKETS
 
 
+def distinct_terms(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Passes over texts: the first text's index, buckets and texts' indices from it on."""
+    for lo, hi in slices([t.encode("utf-8", "surrogatepass") for t in texts]):
+        yield lo, *distinct(*terms(texts[lo:hi]))
+
+
 @dataclass
 class Machine:
-    known: np.ndarray  # sorted buckets
     bias: float
-    weight: np.ndarray
-    factor: np.ndarray
+    table: np.ndarray | None  # a bucket's weight and FACTORS factors; None: the bias alone
 
-    def raw(self, term: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-        """Scores before the sigmoid of n rows, from distinct (term, row) pairs sorted by row."""
+    def raw(self, bucket: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """Scores before the sigmoid of n rows, from distinct (bucket, row) pairs."""
         out = np.full(n, self.bias)
-        out += np.bincount(owner, self.weight[term], n)
-        v = self.factor[term]
-        for f in range(v.shape[1]):
-            total = np.bincount(owner, v[:, f], n)
-            out += 0.5 * (total * total - np.bincount(owner, v[:, f] ** 2, n))
+        if self.table is None:
+            return out
+        own = self.table[bucket]
+        for f in range(own.shape[1]):
+            total = np.bincount(owner, own[:, f], n)
+            out += total if not f else 0.5 * (total * total - np.bincount(owner, own[:, f].astype(float) ** 2, n))
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros(len(texts))
-        for lo, hi in slices([t.encode("utf-8", "surrogatepass") for t in texts]):
-            bucket, owner = terms(texts[lo:hi])
-            if len(self.known):
-                table = np.full(BUCKETS, -1, np.int32)
-                table[self.known] = np.arange(len(self.known))
-                term = table[bucket]
-                term, owner = distinct(term[term >= 0], owner[term >= 0])
-            else:
-                term = owner = np.zeros(0, np.int64)
-            out[lo:hi] = 1 / (1 + np.exp(-np.clip(self.raw(term, owner, hi - lo), -35, 35)))
-        return out
-
-
-def fit(term: np.ndarray, row: np.ndarray, label: np.ndarray, known: np.ndarray, rounds: int = ROUNDS, rate: float = 0.08, decay: float = 2e-4) -> Machine:
-    """Full-batch training by adaptive moments on log loss, weights decayed.
-    term, row: distinct pairs sorted by row. The start is fixed, so that the
-    same rows give the same machine."""
-    n, m = len(label), len(known)
+        raw = np.full(len(texts), self.bias)
+        for lo, bucket, owner in distinct_terms(texts):
+            some = self.raw(bucket, owner, int(owner.max(initial=-1)) + 1)
+            raw[lo : lo + len(some)] = some
+        return 1 / (1 + np.exp(-np.clip(raw, -35, 35)))
+
+
+def scale(rows: list[np.ndarray], label: np.ndarray) -> np.ndarray:
+    """From 0 to 1 for each bucket: how sure it is that its share among toxic
+    rows is not that of all rows."""
+    share = (label.sum() + 0.5) / (len(label) + 1)
+    toxic, every = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for x, y in zip(rows, label, strict=True):
+        every[x] += 1
+        toxic[x] += y
+    apart = (toxic - every * share) ** 2 / (every * share * (1 - share) + 0.5)
+    return (apart / (apart + DOUBT)).astype(np.float32)
+
+
+def fit(rows: list[np.ndarray], label: np.ndarray, rounds: int = ROUNDS, rate: float = 0.3, decay: float = 1e-5) -> Machine:
+    """Steps of STEP_ROWS rows on log loss, each bucket's step by its gradients
+    so far. rows: the distinct buckets of each; the start is fixed."""
+    n = len(label)
     share = (label.sum() + 0.5) / (n + 1)
-    model = Machine(known, float(np.log(share / (1 - share))), np.zeros(m), np.random.default_rng(7).normal(0, 0.05, (m, FACTORS)))
-    if not m or not n or not 0 < label.sum() < n:
-        return model
-    # at most SAMPLE x TERMS numbers of 4 bytes
-    x = np.zeros((n, m), np.float32)
-    x[row, term] = 1
-    params = [np.float32(model.bias), model.weight.astype(np.float32), model.factor.astype(np.float32)]
-    mean, square = [0 * p for p in params], [0 * p for p in params]
-    for t in range(1, rounds + 1):
-        bias, weight, factor = params
-        total = x @ factor
-        raw = bias + x @ weight + 0.5 * ((total * total).sum(1) - (x @ (factor * factor)).sum(1))
-        error = ((1 / (1 + np.exp(-np.clip(raw, -35, 35))) - label) / n).astype(np.float32)
-        by_term = error @ x
-        grads = [error.sum(), by_term + decay * weight, (x.T @ (error[:, None] * total)) - by_term[:, None] * factor + decay * factor]
-        for k, g in enumerate(grads):
-            mean[k] = 0.9 * mean[k] + 0.1 * g
-            square[k] = 0.999 * square[k] + 0.001 * g * g
-            step = rate * (mean[k] / (1 - 0.9**t)) / (np.sqrt(square[k] / (1 - 0.999**t)) + 1e-8)
-            params[k] = params[k] - (0.25 if k == 2 else 1) * step
-    return Machine(known, float(params[0]), params[1].astype(float), params[2].astype(float))
+    bias = float(np.log(share / (1 - share)))
+    if not 0 < label.sum() < n:
+        return Machine(bias, None)
+    known = scale(rows, label)
+    params = np.random.default_rng(7).normal(0, 0.1, (BUCKETS, 1 + FACTORS)).astype(np.float32)
+    params[:, 0] = 0
+    past = np.full(params.shape, 1e-6, np.float32)
+    pace = np.array([rate] + [rate / 4] * FACTORS, np.float32)
+    for _ in range(rounds):
+        for lo in range(0, n, STEP_ROWS):
+            some = rows[lo : lo + STEP_ROWS]
+            m = len(some)
+            owner = np.repeat(np.arange(m), [len(x) for x in some])
+            bucket, place = np.unique(np.concatenate(some), return_inverse=True)
+            own = params[bucket] * known[bucket, None]
+            wide = own[place]
+            total = np.stack([np.bincount(owner, wide[:, f], m) for f in range(1 + FACTORS)], 1)
+            square = np.bincount(owner, (wide[:, 1:] ** 2).sum(1), m)
+            raw = bias + total[:, 0] + 0.5 * ((total[:, 1:] ** 2).sum(1) - square)
+            error = (1 / (1 + np.exp(-np.clip(raw, -35, 35))) - label[lo : lo + m]) / m
+            by_term = np.bincount(place, error[owner], len(bucket))
+            grad = np.empty(own.shape, np.float32)
+            grad[:, 0] = by_term
+            for f in range(1, 1 + FACTORS):
+                grad[:, f] = np.bincount(place, (error * total[:, f])[owner], len(bucket)) - by_term * own[:, f]
+            grad = grad * known[bucket, None] + decay * params[bucket]
+            past[bucket] += grad * grad
+            params[bucket] -= pace * grad / np.sqrt(past[bucket])
+            bias -= rate / 10 * float(error.sum())
+    return Machine(bias, params * known[:, None])
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """The machine from at most `sample` rows of labels that are not held out.
 
     Labels without doc_id or toxic are ignored; an id labelled twice counts as
-    toxic if any of its labels is. Without labelled rows, or with one class
-    alone, every text gets the same score.
+    toxic if any of its labels is; of documents with the same id the text of
+    least hash is taken. Without labelled rows, or with one class alone, every
+    text gets the same score. The driver gets the distinct buckets, 4 bytes
+    each, of at most `sample` texts.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
         .orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(sample)
     )
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, BUCKETS), np.int64)
-        n = np.zeros(2, np.int64)
-        for batch in batches:
-            y = np.array(batch.column(1).to_pylist(), np.int64)
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            for lo, hi in slices([t.encode("utf-8", "surrogatepass") for t in texts]):
-                bucket, owner = distinct(*terms(texts[lo:hi]))
-                for k in (0, 1):
-                    totals[k] += np.bincount(bucket[y[lo:hi][owner] == k], minlength=BUCKETS)
-                    n[k] += (y[lo:hi] == k).sum()
-        # a term's clean rows count wherever they are, with toxic rows in the same task or not
-        kept = np.flatnonzero(totals[0] + totals[1])
-        # the bucket one past the last holds the number of rows
-        columns = np.append(kept, BUCKETS), np.append(totals[0][kept], n[0]), np.append(totals[1][kept], n[1])
-        for k in range(0, len(kept) + 1, COUNTS):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + COUNTS]) for c in columns], names=["bucket", "clean", "toxic"])
-
-    counts = rows.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = common.materialise(counts.where((F.col("bucket") == BUCKETS) | (F.col("toxic") >= LEAST_ROWS)), "toxic-terms")
-    size = counts.where(F.col("bucket") == BUCKETS).first()
-    n_clean, n_toxic = (size["clean"], size["toxic"]) if size else (0, 0)
-    gain = F.col("toxic") * F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0) / ((F.col("clean") + 0.5) / (n_clean + 1.0)))
-    best = counts.where(F.col("bucket") < BUCKETS).select("bucket", gain.alias("gain")).where("gain > 0").orderBy(F.desc("gain"), "bucket").limit(TERMS)
-    known = np.array(sorted(r["bucket"] for r in best.collect()), np.int64)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.full(BUCKETS, -1, np.int32)
-        table[known] = np.arange(len(known))
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            found: list[list[int]] = []
-            for lo, hi in slices([t.encode("utf-8", "surrogatepass") for t in texts]):
-                bucket, owner = terms(texts[lo:hi])
-                term = table[bucket]
-                term, owner = distinct(term[term >= 0], owner[term >= 0])
-                bounds = np.searchsorted(owner, np.arange(hi - lo + 1))
-                found += [term[bounds[k] : bounds[k + 1]].tolist() for k in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms"])
-
-    table = rows.mapInArrow(pick, "doc_id long, toxic int, terms array<int>").toArrow().sort_by("doc_id")
-    lists = table.column("terms").combine_chunks()
-    size = np.array([len(x) for x in lists.to_pylist()], np.int64)
-    term = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return fit(term, np.repeat(np.arange(len(size)), size), table.column("toxic").to_numpy().astype(float), known)
+            texts = batch.column(2).to_pylist()
+            found = [b""] * len(texts)
+            for lo, bucket, owner in distinct_terms(texts):
+                bounds = np.searchsorted(owner, np.arange(int(owner.max(initial=-1)) + 2))
+                for k in range(len(bounds) - 1):
+                    found[lo + k] = bucket[bounds[k] : bounds[k + 1]].astype("<i4").tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "toxic", "terms"])
+
+    table = common.map_batches(one, pick, "doc_id long, toxic int, terms binary").toArrow()
+    ids = table.column("doc_id").to_numpy()
+    order = np.lexsort((ids, mix(ids.view(np.uint64))))
+    buffers = [x.as_buffer() for chunk in table.column("terms").chunks for x in chunk]
+    return fit([np.frombuffer(buffers[k], "<i4") for k in order], table.column("toxic").to_numpy().astype(float)[order])
 
 
 def score(documents: DataFrame, machine: Machine, column: str = "score") -> DataFrame:
     """The documents with a score from 0 to 1; null and empty texts get the
     score of a text without terms. All columns stay; one of the name `column`
     is replaced."""
-    rest = [c for c in documents.columns if c != column]
-    # the text goes along inside the row, once
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
-    sent = documents.sparkSession.sparkContext.broadcast(machine)  # at most TERMS terms
+    common.bound_batches(documents.sparkSession)
+    sent = documents.sparkSession.sparkContext.broadcast(machine)  # at most BUCKETS x 9 numbers of 4 bytes
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).field("text").cast(pa.string())
-            scores = np.concatenate([np.zeros(0), *(sent.value.score([t or "" for t in texts.slice(k, 1000).to_pylist()]) for k in range(0, len(texts), 1000))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(sent.value.score([t or "" for t in texts.to_pylist()]), pa.float64())
+        common.give_back()
 
-    schema = packed.select("row", F.lit(0.0).alias("score")).schema
-    return packed.mapInArrow(run, schema).select("row.*", F.col("score").alias(column))
+    return documents.withColumn(column, scored(F.col("text").cast("string")))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -11,15 +11,40 @@ def test_partitions_do_not_change_the_machine(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     docs, labels = table.select("doc_id", "text"), table.select("doc_id", "toxic")
     # in order of doc_id, most tasks have no toxic row
-    machines = [toxicity.train(docs.repartitionByRange(n, "doc_id"), labels) for n in (1, 3, 12)]
-    assert len(machines[0].known)
+    machines = [toxicity.train(docs.repartitionByRange(n, "doc_id"), labels) for n in (1, 8, 400)]
     for other in machines[1:]:
-        assert np.array_equal(machines[0].known, other.known)
-        assert np.array_equal(machines[0].weight, other.weight) and np.array_equal(machines[0].factor, other.factor)
+        assert machines[0].bias == other.bias and np.array_equal(machines[0].table, other.table)
 
 
-def test_3000_terms_are_known(spark):
-    # each group of six toxic rows has terms of its own, far more than 3,000 in all
-    rows = [(6 * k + c, " ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}{chr(97 + j)}zor" for j in range(20)), 1) for k in range(100) for c in range(6)] + [(1000 + k, "calm words", 0) for k in range(1500)]
+def test_repeated_ids_train_once(spark):
+    rows = [(k % 300, f"calm words {k % 300}" + " zorp" * (k % 300 < 60), int(k % 300 < 60)) for k in range(900)]
     table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    assert len(toxicity.train(table.select("doc_id", "text"), table.select("doc_id", "toxic")).known) == 3000
+    many = toxicity.train(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    once = toxicity.train(table.dropDuplicates(["doc_id"]).select("doc_id", "text"), table.select("doc_id", "toxic"))
+    assert np.array_equal(many.table, once.table)
+
+
+def test_every_term_counts():
+    """Terms of toxic and of clean rows alike have weights; terms by chance hardly any."""
+    r = np.random.default_rng(5)
+    rows, label = [], []
+    for k in range(600):
+        y = k % 5 == 0
+        mine = [10 + k % 3] if y else [20 + k % 3]
+        rows.append(np.unique(np.array([*mine, *r.integers(100, 160, 20)])))
+        label.append(float(y))
+    machine = toxicity.fit(rows, np.array(label))
+    assert (machine.table[10:13, 0] > 0).all() and (machine.table[20:23, 0] < 0).all()
+    assert abs(machine.table[100:160, 0]).max() < machine.table[10:13, 0].min() / 4
+
+
+def test_scores_are_the_double_sum():
+    r = np.random.default_rng(2)
+    machine = toxicity.Machine(-0.3, r.normal(0, 0.2, (toxicity.BUCKETS, 1 + toxicity.FACTORS)).astype(np.float32))
+    texts = ["zorp and veltans", "", "one", "Zorp zorp été  x1 the end of it", "\n\t"]
+    for t, got in zip(texts, machine.score(texts), strict=True):
+        bucket, owner = toxicity.terms([t])
+        present = sorted(set(bucket.tolist()))
+        want = machine.bias + sum(float(machine.table[b, 0]) for b in present)
+        want += sum(float(machine.table[a, 1:].astype(float) @ machine.table[b, 1:].astype(float)) for i, a in enumerate(present) for b in present[:i])
+        assert abs(got - 1 / (1 + np.exp(-want))) < 1e-6
