@@ -1,31 +1,35 @@
-"""Verbatim passages that occur before, by anchored fingerprints.
+"""Verbatim passages that occur before, by prefix doubling over what anchors leave.
 
-A byte is removed if a string of LENGTH bytes over it also starts earlier. This
-stands in place of prefix doubling, which would sort a row per position at each
-offset: no ranks are sorted or doubled, and a rank below is a hash of bytes.
-A position leaves as soon as a hash tells its fate, and positions that must
-share it travel as one:
+A byte is removed if a string of LENGTH bytes over it also starts earlier.
+Prefix doubling ranks positions by their first bytes, and by pairs of ranks at
+growing offsets by twice as many, until a position is unique or LENGTH bytes are
+passed. A row for every position and offset would be tens of times the input, so
+that positions are left out first that cannot matter, or whose fate is certain:
 
 1. Each string of LENGTH bytes names one of its ANCHOR-byte grams, the least by
    hash, so that equal strings name equal grams at equal places. Strings in a
    row that name the same gram form a run: about one in thirty-five positions.
-   Runs are ranked by their gram; grams that occur once end here.
-2. The rest are ranked by the pair of that rank and the rank of the whole run's
-   bytes. A run equal to an earlier one is covered whole; if all runs of a gram
-   are equal, the first of them is settled too: nothing of it occurs before.
+   Strings of a gram that occurs once occur once: they are left out.
+2. The other runs are sorted by (gram, whole run, position). A run that is not
+   the first of its equals is covered whole, and if all runs of a gram are equal,
+   the first of them occurs nowhere before. Both are settled.
 3. Of the others, the first of each kind is cut by its strings' distance to the
    gram into parts of STEP strings, which share CORE bytes around it: parts are
-   ranked by these, then by the pair with their whole bytes, as in 1 and 2.
-4. The first of each kind that is left goes down to single positions, ranked by
-   LENGTH / 2 bytes; the pairs of ranks at a position and LENGTH / 2 further are
-   sorted, and every position but the first of its pair is covered.
-
-A rank's name is a 64-bit hash of the bytes, the same wherever it is computed,
-so that equal names meet by sorting and no numbering is needed; steps 2 to 4
-compare 128 bits. Between steps, maps of fixed size tell the next scan which
-positions can still matter. They only leave out; joins decide. What comes
-before what within a document is told where the document is read (`again`), so
-that the aggregates only need the least doc_id.
+   settled by (core, whole part, position) as in 2.
+4. The strings of the parts that are left, and the places HALF bytes after them,
+   go through prefix doubling. Ranks of QUARTER bytes are hashes. Pairs of ranks
+   (at a position, QUARTER further) are sorted with their positions; numbers in
+   that order are ranks of HALF bytes. Unique ones end here. The others meet
+   with their rank HALF bytes further and are sorted again: every position but
+   the first of its pair starts a string that occurs before.
+
+All sorts are range-partitioned with the position as the last key, so that a
+passage that a third of all documents share is spread over as many tasks as it
+fills. Tasks number what they hold; what crosses their bounds is settled from
+one row of notes per task. Steps 2 and 3 compare 128 bits of hashes, step 4 the
+hashes of four quarters. Maps of fixed size tell the next scan which positions
+can still matter. They only leave out, and past some 10^8 keys they are full and
+leave out nothing more; the sorts decide.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,16 +49,21 @@ from .common import BYTE_VALUE, mix, utf8
 LENGTH = 100
 ANCHOR = 32
 STEP, CORE = 8, 93
+QUARTER, HALF = LENGTH // 4, LENGTH // 2
 #: Bits of each map; fixed, whatever the input.
 MAP_BITS = 1 << 27
 _PASS = 1 << 18
 
-RUNS = "gram long, whole long, doc long, text_hash long, start int, more int, again boolean"
+#: Most rows of a sorted partition, on average.
+PART_ROWS = 500_000
+
+GRAMS = "gram long"
+ROWS = "k1 long, k2 long, doc long, text_hash long, start int, more int"
+ORDER = ["k1", "k2", "doc", "text_hash", "start"]
 RESULT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-COLUMNS = ["gram", "whole", "doc", "text_hash", "start", "more", "again"]
 
 #: A multiplier for each length that names are joined to.
-_BY = {n: np.uint64(k) for n, k in zip((2, 4, 8, 16, 32, 48, 50, 64, 80, 88, 92, 93, 100), np.random.default_rng(17).integers(1, 2**62, 13, dtype=np.uint64) * np.uint64(2) + np.uint64(1), strict=True)}
+_BY = {n: np.uint64(k) for n, k in zip((2, 4, 8, 16, 24, 25, 32, 64, 80, 88, 92, 93, 96, 100), np.random.default_rng(17).integers(1, 2**62, 14, dtype=np.uint64) * np.uint64(2) + np.uint64(1), strict=True)}
 
 
 class Names:
@@ -69,7 +79,7 @@ class Names:
     def __call__(self, n: int, at: np.ndarray) -> np.ndarray:
         if n in self.of:
             return self.of[n][at]
-        first = {48: 32, 50: 48, 64: 32, 80: 64, 88: 80, 92: 88, 93: 92, 100: 50}[n]
+        first = {24: 16, 25: 24, 64: 32, 80: 64, 88: 80, 92: 88, 93: 92, 96: 64, 100: 96}[n]
         return self(first, at) * _BY[n] + self(n - first, at + first)
 
 
@@ -96,6 +106,8 @@ class Runs:
         if (size >= LENGTH).any():
             self._find(size, len(buf))
         self.gram = mix(self.names(ANCHOR, self.at))
+
+    def name(self) -> None:
         self.whole = self._whole(self.first, self.last, self.at)
 
     def _find(self, size: np.ndarray, n: int) -> None:
@@ -124,7 +136,8 @@ class Runs:
 
     def pick(self, keep: np.ndarray) -> None:
         for k in ("gram", "whole", "owner", "first", "last", "at"):
-            setattr(self, k, getattr(self, k)[keep])
+            if hasattr(self, k):
+                setattr(self, k, getattr(self, k)[keep])
 
     def cut(self) -> None:
         """Into parts of strings whose distance to the gram has the same quotient by STEP."""
@@ -139,21 +152,20 @@ class Runs:
         self.whole = self._whole(self.first, self.last, at)
 
     def single(self) -> None:
-        """Into single strings, named by their halves."""
+        """Into single strings, and the places HALF bytes after them, named by
+        two quarters each; `last` is past `first` for the strings themselves."""
         n = self.last - self.first + 1
-        p = np.arange(n.sum()) + np.repeat(self.first - (np.cumsum(n) - n), n)
-        self.owner = np.repeat(self.owner, n)
-        self.first = self.last = self.at = p
-        self.gram, self.whole = mix(self.names(LENGTH // 2, p)), mix(self.names(LENGTH // 2, p + LENGTH // 2))
+        p = np.unique(np.arange(n.sum()) + np.repeat(self.first - (np.cumsum(n) - n), n))
+        every = np.union1d(p, p + HALF)
+        self.owner = np.searchsorted(self.begin, every, side="right") - 1
+        self.first = self.at = every
+        self.last = every + np.isin(every, p, assume_unique=True)
+        self.gram, self.whole = mix(self.names(QUARTER, every)), mix(self.names(QUARTER, every + QUARTER))
 
     def batch(self, doc: np.ndarray, text_hash: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((self.first, self.whole, self.gram, self.owner))
-        o, g, w = self.owner[order], self.gram[order], self.whole[order]
-        again = np.zeros(len(order), bool)
-        again[order[1:]] = (o[1:] == o[:-1]) & (g[1:] == g[:-1]) & (w[1:] == w[:-1])
         start, more = self.first - self.begin[self.owner], self.last - self.first
-        columns = [pa.array(self.gram.view(np.int64)), pa.array(self.whole.view(np.int64)), pa.array(doc[self.owner]), pa.array(text_hash[self.owner]), pa.array(start, pa.int32()), pa.array(more, pa.int32()), pa.array(again)]
-        return pa.RecordBatch.from_arrays(columns, names=COLUMNS)
+        columns = [pa.array(self.gram.view(np.int64)), pa.array(self.whole.view(np.int64)), pa.array(doc[self.owner]), pa.array(text_hash[self.owner]), pa.array(start, pa.int32()), pa.array(more, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names=[*ORDER, "more"])
 
 
 def _rows(documents: DataFrame) -> DataFrame:
@@ -161,10 +173,10 @@ def _rows(documents: DataFrame) -> DataFrame:
     return documents.select(common.doc_key().alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def _scan(rows: DataFrame, grams=None, heads=None, parts=None, pairs=None) -> DataFrame:
-    """Runs of all documents, of the grams in a map if it is sent. With heads, a
-    map of runs, those of them are cut into parts; with parts, a map as well,
-    those of these are cut into single strings; pairs maps which of these stay."""
+def _scan(rows: DataFrame, grams=None, heads=None, parts=None) -> DataFrame:
+    """Grams of all runs; or runs, of the grams in a map. With heads, a map of
+    runs, those of them are cut into parts; with parts, a map as well, those of
+    these into single strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,39 +186,144 @@ def _scan(rows: DataFrame, grams=None, heads=None, parts=None, pairs=None) -> Da
                 # texts are unpacked a pass at a time
                 hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:]), _PASS, side="right")) + lo)
                 found = Runs(utf8(batch.column(2).slice(lo, hi - lo)))
-                mine = doc[lo:hi]
-                if grams is not None:
+                if grams is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(found.gram.view(np.int64))], names=["gram"])
+                else:
+                    mine = doc[lo:hi]
                     found.pick(common.in_bitmap(grams.value, (found.gram & np.uint64(MAP_BITS - 1)).astype(np.int64)))
-                head = lambda bits, found=found, mine=mine: common.in_bitmap(bits.value, (found.whole.view(np.int64) ^ mine[found.owner]) & (MAP_BITS - 1))
-                if heads is not None:
-                    found.pick(head(heads))
-                    found.cut()
-                if parts is not None:
-                    found.pick(head(parts))
-                    found.single()
-                if pairs is not None:
-                    found.pick(common.in_bitmap(pairs.value, (found.whole & np.uint64(MAP_BITS - 1)).astype(np.int64)))
-                yield found.batch(mine, text_hash[lo:hi])
+                    found.name()
+                    head = lambda bits, found=found, mine=mine: common.in_bitmap(bits.value, (found.whole.view(np.int64) ^ mine[found.owner]) & (MAP_BITS - 1))
+                    if heads is not None:
+                        found.pick(head(heads))
+                        found.cut()
+                    if parts is not None:
+                        found.pick(head(parts))
+                        found.single()
+                    yield found.batch(mine, text_hash[lo:hi])
                 lo = hi
 
     sized = rows.select("doc", "text_hash", "text", F.octet_length("text").cast("long").alias("size"))
-    return sized.mapInArrow(run, RUNS)
-
-
-def _settle(found: DataFrame, grams: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Steps 2 and 3b: spans of the rows that occur before, and (slot) the first
-    rows of each kind where a gram has several."""
-    kinds = found.groupBy("gram", "whole").agg(F.min("doc").alias("first"), F.count("*").alias("n")).join(grams, "gram")
-    kinds = common.materialise(kinds.where("several or n > 1"), name)
-    repeats = found.join(kinds.where("n > 1").select("gram", "whole", "first"), ["gram", "whole"]).where("doc > first or again")
-    heads = kinds.where("several").select(F.pmod(F.col("whole").bitwiseXOR(F.col("first")), F.lit(MAP_BITS)).alias("slot"))
-    return repeats.select("doc", "text_hash", "start", (F.col("start") + F.col("more") + LENGTH).alias("stop")), heads
-
-
-def _grams(found: DataFrame) -> DataFrame:
-    """gram, several: those that occur twice or more."""
-    counted = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
-    return counted.where("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("several"))
+    return common.map_batches(sized, run, GRAMS if grams is None else ROWS)
+
+
+# --- ranks ------------------------------------------------------------------
+
+RANKED = "part int, k2 long, doc long, text_hash long, start int, more int, rank long, first boolean, many boolean, several boolean, edge int, note array<long>"
+#: A row's group by k1, or by (k1, k2), is the first or the last of its task.
+LEAD1, TAIL1, LEAD2, TAIL2 = 1, 2, 4, 8
+
+
+def _number(batches: Iterator[pa.RecordBatch], repeats: bool) -> Iterator[pa.RecordBatch]:
+    """Ranks of a task's sorted rows, as far as the task can tell, and its note.
+    Rows that cannot matter are left out: with repeats, those alone of their
+    kind; else those first of the only kind of their k1."""
+    table = pa.Table.from_batches(list(batches), pa.schema([(c, pa.int64()) for c in ORDER[:4]] + [("start", pa.int32()), ("more", pa.int32())]))
+    n = table.num_rows
+    if not n:
+        return
+    k1, k2, doc, text_hash, start, more = (table.column(c).to_numpy() for c in [*ORDER, "more"])
+    changes = lambda x: np.concatenate([[True], x[1:] != x[:-1]])
+    new1 = changes(k1)
+    new2 = new1 | changes(k2)
+    newp = new2 | changes(doc) | changes(text_hash) | changes(start)
+    at1, at2 = np.flatnonzero(new1), np.flatnonzero(new2)
+    of1, of2 = np.cumsum(new1) - 1, np.cumsum(new2) - 1
+    several = np.add.reduceat(new2.astype(np.int64), at1) > 1
+    many = np.add.reduceat(newp.astype(np.int64), at2) > 1
+    first = np.maximum.accumulate(np.where(newp, np.arange(n), 0)) == at2[of2]
+    edge = LEAD1 * (of1 == 0) + TAIL1 * (of1 == of1[-1]) + LEAD2 * (of2 == 0) + TAIL2 * (of2 == of2[-1])
+    part = TaskContext.get().partitionId()
+    note = [n, k1[0], k2[0], k1[-1], k2[-1], several[0], several[-1], many[0], many[-1], len(at1) == 1, len(at2) == 1, at2[-1]]
+    keep = np.flatnonzero((many[of2] if repeats else ~first | several[of1]) | (edge > 0))
+    size = len(keep)
+    columns = [pa.array(np.full(size, part), pa.int32()), *(pa.array(x[keep], t) for x, t in ((k2, pa.int64()), (doc, pa.int64()), (text_hash, pa.int64()), (start, pa.int32()), (more, pa.int32()), (at2[of2], pa.int64()), (first, pa.bool_()), (many[of2], pa.bool_()), (several[of1], pa.bool_()), (edge, pa.int32())))]
+    names = ["part", "k2", "doc", "text_hash", "start", "more", "rank", "first", "many", "several", "edge", "note"]
+    yield pa.RecordBatch.from_arrays([*columns, pa.nulls(size, pa.list_(pa.int64()))], names=names)
+    nulls = [pa.nulls(1, c.type) for c in columns[1:]]
+    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *nulls, pa.array([[int(x) for x in note]], pa.list_(pa.int64()))], names=names)
+
+
+def across(notes: list[tuple[int, list[int]]]) -> list[tuple]:
+    """notes (task, note) in order -> what a task cannot tell alone: task, rows
+    before it, whether its first kind began earlier, and for its first and last
+    group whether it has several kinds, its first and last kind many positions,
+    and the rank of its first kind."""
+    before, kind, group = 0, -1, -1
+    several: list[bool] = []
+    many: list[bool] = []
+    rank: list[int] = []
+    out, last = [], None
+    for part, note in notes:
+        n, k1, k2, last1, last2, several_first, several_last, many_first, many_last, one1, one2, at = note
+        same1, same2 = last is not None and last[0] == k1, last == (k1, k2)
+        if not same1:
+            several.append(False)
+            group += 1
+        if not same2:
+            many.append(False)
+            rank.append(before)
+            kind += 1
+        lead1, lead2 = group, kind
+        several[group] |= bool(several_first) or same1 and not same2
+        many[kind] |= bool(many_first) or same2
+        if not one1:
+            several.append(bool(several_last))
+            group += 1
+        if not one2:
+            many.append(bool(many_last))
+            rank.append(before + at)
+            kind += 1
+        out.append((part, before, same2, lead1, group, lead2, kind))
+        before, last = before + n, (last1, last2)
+    return [(part, n, began, several[a], several[b], many[c], many[d], rank[c]) for part, n, began, a, b, c, d in out]
+
+
+def rerank(rows: DataFrame, name: str, repeats: bool = False) -> DataFrame:
+    """Sorts rows (ROWS, written before) by the pair k1, k2 and the position. rank:
+    rows before the first of a pair; first: nothing of the pair lies before; many:
+    the pair has several positions; several: k1 has several pairs. Rows in which
+    all fields are equal count as one position. Rows that cannot matter (_number)
+    are left out. Of each task, one row of notes passes the driver."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_ROWS))
+    ordered = rows.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER)
+    found = common.materialise(common.map_batches(ordered, lambda batches: _number(batches, repeats), RANKED), name)
+    notes = sorted((r["part"], r["note"]) for r in found.where("note is not null").select("part", "note").collect())
+    fixes = spark.createDataFrame(across(notes), "part int, before long, began boolean, several1 boolean, several2 boolean, many1 boolean, many2 boolean, rank1 long")
+    on = lambda bit: F.col("edge").bitwiseAND(F.lit(bit)) > 0
+    # a row per task
+    joined = found.where("note is null").drop("note").join(F.broadcast(fixes), "part")
+    return joined.select(
+        "k2", "doc", "text_hash", "start", "more", F.when(on(LEAD2), F.col("rank1")).otherwise(F.col("before") + F.col("rank")).alias("rank"),
+        (F.col("first") & ~(on(LEAD2) & F.col("began"))).alias("first"),
+        (F.col("many") | (on(LEAD2) & F.col("many1")) | (on(TAIL2) & F.col("many2"))).alias("many"),
+        (F.col("several") | (on(LEAD1) & F.col("several1")) | (on(TAIL1) & F.col("several2"))).alias("several"),
+    )
+
+
+def _settle(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Steps 2 and 3: spans of the rows that occur before, and (slot) the first
+    rows of each kind where k1 has several."""
+    found = rerank(rows, name)
+    heads = found.where("first and several").select(F.pmod(F.col("k2").bitwiseXOR(F.col("doc")), F.lit(MAP_BITS)).alias("slot"))
+    return found.where("not first").select("doc", "text_hash", "start", (F.col("start") + F.col("more") + LENGTH).alias("stop")), heads
+
+
+def double(rows: DataFrame) -> DataFrame:
+    """Step 4: rows (ROWS) by two ranks of QUARTER bytes, `more` set for strings
+    and not for the places HALF after them -> spans of the strings that occur
+    before."""
+    offset = HALF
+    found = rerank(rows, "ranks", repeats=True)
+    while offset < LENGTH:
+        alive = found.where("many")
+        ahead = alive.select("doc", "text_hash", (F.col("start") - offset).alias("start"), F.col("rank").alias("k2")).distinct()
+        pairs = alive.where("more > 0").drop("k2").join(ahead, ["doc", "text_hash", "start"])
+        pairs = common.materialise(pairs.select(F.col("rank").alias("k1"), "k2", "doc", "text_hash", "start", "more"), "rank-pairs")
+        offset *= 2
+        found = rerank(pairs, "ranks", repeats=True)
+        common.discard(pairs)
+    return found.where("not first").select("doc", "text_hash", "start", (F.col("start") + LENGTH).alias("stop"))
 
 
 def covered_spans(documents: DataFrame) -> DataFrame:
@@ -214,19 +331,18 @@ def covered_spans(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     send = lambda slots: spark.sparkContext.broadcast(common.bitmap(slots, MAP_BITS))
     rows = _rows(documents)
-    grams = common.materialise(_grams(_scan(rows)), "grams")
+    grams = _scan(rows).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     in_grams = send(grams.select(F.pmod("gram", F.lit(MAP_BITS)).alias("slot")))
-    alive = common.materialise(_scan(rows, in_grams), "runs")
-    spans, heads = _settle(alive, grams, "kinds")
+    runs = common.materialise(_scan(rows, in_grams), "runs")
+    spans, heads = _settle(runs, "run-ranks")
+    common.discard(runs)
     in_heads = send(heads)
     parts = common.materialise(_scan(rows, in_grams, in_heads), "parts")
-    more, part_heads = _settle(parts, _grams(parts), "part-kinds")
-    in_parts = send(part_heads)
-    # strings are many: they are made again for the join, and then only those of pairs that occur twice
-    pairs = _scan(rows, in_grams, in_heads, in_parts).groupBy("gram", "whole").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = common.materialise(pairs, "pairs")
-    in_pairs = send(pairs.select(F.pmod("whole", F.lit(MAP_BITS)).alias("slot")))
-    last = _scan(rows, in_grams, in_heads, in_parts, in_pairs).join(pairs, ["gram", "whole"]).where("doc > first or again").select("doc", "text_hash", "start", (F.col("start") + LENGTH).alias("stop"))
+    more, heads = _settle(parts, "part-ranks")
+    common.discard(parts)
+    strings = common.materialise(_scan(rows, in_grams, in_heads, send(heads)), "strings")
+    last = double(strings)
+    common.discard(strings)
     return spans.union(more).union(last)
 
 
@@ -256,35 +372,23 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_spans(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc, text, spans: documents that lose something, and the others."""
-    rows = _rows(documents)
     spans = covered_spans(documents).groupBy("doc", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     spans = common.materialise(spans, "spans")
-    bits = 1 << 25
-    sent = documents.sparkSession.sparkContext.broadcast(common.bitmap(spans.select(common.doc_slot("doc", bits).alias("slot")), bits))
-
-    def part(hit: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = common.in_bitmap(sent.value, batch.column(0).to_numpy())
-                yield batch.filter(pa.array(found == hit))
-
-        return rows.select(common.doc_slot("doc", bits).alias("slot"), "doc", "text_hash", "text").mapInArrow(run, "slot long, doc long, text_hash long, text string").drop("slot")
-
-    touched = part(True).join(spans, ["doc", "text_hash"], "left").select("doc", "text", "spans")
-    others = part(False).select("doc", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
-    return touched, others
+    may, others = common.split_by(_rows(documents), spans.select("doc"), key="doc")
+    touched = may.select("row.*").join(spans, ["doc", "text_hash"], "left").select("doc", "text", "spans")
+    return touched, others.select("doc", "row.text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """doc (key), n_bytes, n_removed, n_spans, kept_sha256: a row per document.
 
     Null texts are empty, and texts under LENGTH bytes lose nothing. Rows
-    without a doc_id come after all others as one document; of rows with the
-    same doc_id, strings at the same place are not before each other. An empty
-    table gives no rows. Other columns are ignored.
+    without a doc_id come after all others. Rows with the same doc_id, or
+    without one, come in the order of a hash of their texts, equal texts at
+    once. An empty table gives no rows. Other columns are ignored.
     """
     touched, others = _with_spans(documents)
-    return touched.mapInArrow(_digest, RESULT).union(others.mapInArrow(_digest, RESULT))
+    return common.map_batches(touched, _digest, RESULT).union(common.map_batches(others, _digest, RESULT))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
