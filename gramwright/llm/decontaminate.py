@@ -2,19 +2,27 @@
 
 Each task cuts its documents into shards and builds a suffix array of each
 shard's words by prefix doubling. Every suffix of every benchmark item is then
-binary-searched in it. Documents never move: the benchmark does, in blocks of
-bounded size, so that there is no shuffle however large the documents are.
+binary-searched in it, which gives its longest verbatim match. Where that reaches
+a window, all places that share the window are located and their words are hit.
+Documents never move: the benchmark does, in blocks of bounded size, of which
+the driver holds one at a time, so that there is no shuffle however large the
+documents are. One block takes one pass, in which rows stay in the JVM and only
+texts go through Python; of further blocks, only the rows that they hit are kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
 from .common import slices, utf8, word_table
 
 #: Words of a window, for documents to be hit at all.
@@ -99,18 +107,22 @@ class Shard:
                 break
         self.array = live[np.argsort(rank[live], kind="stable")]
 
-    def longest(self, test: TestSet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each test suffix: the rows of the array that share at least the
-        words it needs, and the length of its longest match."""
+    def longest(self, test: TestSet) -> np.ndarray:
+        """Words of the longest match of each test suffix."""
         code = np.searchsorted(test.vocabulary, test.words) + 1
-        low = self._search(code, test.left, test.need, upper=False)
-        high = self._search(code, test.left, test.need, upper=True)
-        where = self._search(code, test.left, test.left, upper=False)
+        every = np.arange(len(code))
+        where = self._search(code, test.left, every, upper=False)
         best = np.zeros(len(code), np.int64)
         for near in (where - 1, where):
             ok = (near >= 0) & (near < len(self.array))
-            best[ok] = np.maximum(best[ok], self._shared(self.array[near[ok]], np.flatnonzero(ok), code, test.left))
-        return low, high, best
+            best[ok] = np.maximum(best[ok], self._shared(self.array[near[ok]], every[ok], code, test.left))
+        return best
+
+    def places(self, test: TestSet, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end row of the array whose suffixes share the words that the
+        test suffixes `which` need."""
+        code = np.searchsorted(test.vocabulary, test.words) + 1
+        return self._search(code, test.need, which, upper=False), self._search(code, test.need, which, upper=True)
 
     def _shared(self, spot: np.ndarray, suffix: np.ndarray, code: np.ndarray, left: np.ndarray) -> np.ndarray:
         """Words that the document suffixes at spot and the test suffixes share."""
@@ -124,18 +136,17 @@ class Shard:
             k += 1
         return out
 
-    def _search(self, code: np.ndarray, left: np.ndarray, limit: np.ndarray, upper: bool) -> np.ndarray:
+    def _search(self, code: np.ndarray, words: np.ndarray, which: np.ndarray, upper: bool) -> np.ndarray:
         """First row of the array whose suffix is not below (above, if upper)
-        the first words of each test suffix, as many as limit says."""
-        everything = np.arange(len(code))
-        low, high = np.zeros(len(code), np.int64), np.full(len(code), len(self.array), np.int64)
-        while (active := everything[low < high]).size:
-            mid = (low[active] + high[active]) // 2
+        the first words of each of the test suffixes, as many as words says."""
+        low, high = np.zeros(len(which), np.int64), np.full(len(which), len(self.array), np.int64)
+        while (active := np.flatnonzero(low < high)).size:
+            mid, suffix = (low[active] + high[active]) // 2, which[active]
             spot = self.array[mid]
-            same = self._shared(spot, active, code, np.minimum(left, limit))
-            done = same >= np.minimum(left, limit)[active]
+            same = self._shared(spot, suffix, code, words)
+            done = same >= words[suffix]
             ahead = np.minimum(spot + same, len(self.code) - 1)
-            below = np.where(done, upper, self.code[ahead] < code[np.minimum(active + same, len(code) - 1)])
+            below = np.where(done, upper, self.code[ahead] < code[np.minimum(suffix + same, len(code) - 1)])
             low[active[below]] = mid[below] + 1
             high[active[~below]] = mid[~below]
         return low
@@ -157,14 +168,15 @@ def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _hits(texts: list[bytes], test: TestSet) -> Iterator[tuple[np.ndarray, set[int]]]:
     """For each text: which of its words are hit, and the items with occurring windows."""
-    starts = np.flatnonzero((test.left >= WINDOW) | (test.whole & (test.count[test.owner] < WINDOW)))
+    starts = (test.left >= WINDOW) | (test.whole & (test.count[test.owner] < WINDOW))
     for lo, hi, words, owner, shard in _shards(texts, test):
-        low, high, _ = shard.longest(test)
+        found = np.flatnonzero(starts & (shard.longest(test) >= test.need))
+        low, high = shard.places(test, found)
         hit = np.zeros(len(words) + 1, np.int64)
         # the same window may begin in several items: its matches are walked once
         ranges: dict[tuple[int, int, int], list[int]] = {}
-        for s in starts[high[starts] > low[starts]]:
-            ranges.setdefault((int(low[s]), int(high[s]), int(test.need[s])), []).append(int(test.owner[s]))
+        for s, a, b in zip(found.tolist(), low.tolist(), high.tolist(), strict=True):
+            ranges.setdefault((a, b, int(test.need[s])), []).append(int(test.owner[s]))
         items: list[set[int]] = [set() for _ in range(hi - lo)]
         for (a, b, need), who in ranges.items():
             at = shard.word_of[shard.array[a:b]]
@@ -193,43 +205,63 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tupl
     yield rows
 
 
-def _pass(rows: list[tuple[str, bytes]]) -> Callable:
-    """One block of the benchmark over all rows; adds to what earlier blocks hit."""
+FOUND = "n_words long, n_hit long, mask binary, items array<string>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = TestSet(rows)
+
+def _judge(spark: SparkSession, rows: list[tuple[str, bytes]]) -> tuple[Callable[[Column], Column], Broadcast]:
+    """What one block of the benchmark hits in a text, as a column (FOUND)."""
+    common.bound_batches(spark)
+    sent = spark.sparkContext.broadcast(rows)  # at most BLOCK_BYTES, or one item
+
+    @F.arrow_udf(f"struct<{', '.join(': '.join(c.split()) for c in FOUND.split(', '))}>")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        test = TestSet(sent.value)
         for batch in batches:
-            row = batch.column("row")
-            texts = utf8(row.field("text").cast(pa.string()) if pa.types.is_struct(row.type) else batch.column("text"))
-            before = batch.column("hit").to_pylist()
-            names = batch.column("items").to_pylist()
-            n_words, n_hit, masks = [], [], []
-            for k, (mask, who) in enumerate(_hits(texts, test)):
-                if before[k] is not None:
-                    mask = mask | np.unpackbits(np.frombuffer(before[k], np.uint8), count=len(mask)).astype(bool)
-                n_words.append(len(mask))
-                n_hit.append(int(mask.sum()))
-                masks.append(np.packbits(mask).tobytes())
-                names[k] = [*(names[k] or []), *(test.items[i] for i in who)]
-            new = {"hit": pa.array(masks, pa.binary()), "items": pa.array(names, pa.list_(pa.string())), "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64())}
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(batch.schema.names)], names=batch.schema.names)
-
-    return run
-
-
-def _judged(documents: DataFrame, benchmark: DataFrame, keep_row: bool) -> DataFrame:
-    """doc_id, n_words, n_hit and the distinct items of each row, with the row."""
-    null = F.lit(None)
-    df = documents.select(
-        (F.struct("*") if keep_row else null.cast("int")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), (null.cast("string") if keep_row else F.col("text").cast("string")).alias("text"),
-        null.cast("binary").alias("hit"), null.cast("array<string>").alias("items"), null.cast("long").alias("n_words"), null.cast("long").alias("n_hit"),
-    )
-    for rows in blocks(benchmark):
-        df = df.mapInArrow(_pass(rows), df.schema)
-    return df.select("row", "doc_id", "n_words", "n_hit", F.array_sort(F.array_distinct("items")).alias("items"))
-
-
-def find_hits(documents: DataFrame, benchmark: DataFrame, least_items: int = LEAST_ITEMS) -> DataFrame:
+            found = list(_hits(utf8(batch), test))
+            columns = [
+                pa.array([len(mask) for mask, _ in found], pa.int64()), pa.array([int(mask.sum()) for mask, _ in found], pa.int64()),
+                pa.array([np.packbits(mask).tobytes() if len(who) else None for mask, who in found], pa.binary()), pa.array([[test.items[i] for i in who] for _, who in found], pa.list_(pa.string())),
+            ]
+            yield pa.StructArray.from_arrays(columns, names=["n_words", "n_hit", "mask", "items"])
+        common.give_back()
+
+    return judge, sent
+
+
+def _marked(masks: pa.Array) -> pa.Array:
+    """Words that any of several masks marks."""
+    return pa.array([int(np.bitwise_count(reduce(np.bitwise_or, (np.frombuffer(m, np.uint8) for m in some))).sum()) if some else 0 for some in masks.to_pylist()], pa.int64())
+
+
+def _judged(documents: DataFrame, benchmark: DataFrame, limit: int) -> DataFrame:
+    """row (all columns), n_words, n_hit and the distinct sorted items of each row."""
+    spark = documents.sparkSession
+    parts = blocks(benchmark, limit)
+    judge, _ = _judge(spark, next(parts))
+    second = next(parts, None)
+    text = lambda column: F.col(column).cast("string")
+    items = lambda column: F.array_sort(F.array_distinct(F.col(column)))
+    if second is None:
+        found = documents.select(F.struct("*").alias("row"), judge(text("text")).alias("found"))
+        return found.select("row", "found.n_words", "found.n_hit", items("found.items").alias("items"))
+    # keys stay the same as the rows are written once
+    keyed = common.materialise(documents.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("key")), "keyed-documents")
+    hits = []
+    for k, rows in enumerate(chain([None, second], parts)):
+        if k:
+            judge, sent = _judge(spark, rows)
+        found = keyed.select("key", judge(text("row.text")).alias("found")).where(F.size("found.items") > 0)
+        hits.append(common.materialise(found.select("key", "found.mask", "found.items"), "benchmark-hits"))
+        if k:
+            sent.unpersist()
+    every = reduce(DataFrame.union, hits).groupBy("key").agg(F.collect_list("mask").alias("masks"), F.flatten(F.collect_list("items")).alias("items"))
+    every = every.select("key", F.arrow_udf(_marked, "long")("masks").alias("n_hit"), "items")
+    judge, _ = _judge(spark, [])
+    counted = keyed.select("row", "key", judge(text("row.text"))["n_words"].alias("n_words")).join(every, "key", "left")
+    return counted.select("row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(items("items"), F.array().cast("array<string>")).alias("items"))
+
+
+def find_hits(documents: DataFrame, benchmark: DataFrame, least_items: int = LEAST_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: words, hit words, items with occurring windows.
 
     A window is WINDOW consecutive words of an item, or the whole of a shorter
@@ -237,17 +269,18 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, least_items: int = LEA
     null doc_id stays null; rows with the same doc_id are judged one by one; an
     empty benchmark hits nothing; items without an id are left out, as they
     can't be named, and items with the same id count once. Other columns of the
-    documents are ignored. A benchmark over BLOCK_BYTES takes a pass per block.
+    documents are ignored. A benchmark over block_bytes takes a pass per block.
     """
-    return _judged(documents, benchmark, keep_row=False).select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") >= least_items).alias("contaminated"), "items"
+    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _judged(narrow, benchmark, block_bytes).select(
+        "row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") >= least_items).alias("contaminated"), "items"
     )
 
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, least_items: int = LEAST_ITEMS) -> DataFrame:
     """The documents, all columns kept, without the contaminated ones (as
     find_hits judges them)."""
-    return _judged(documents, benchmark, keep_row=True).where(F.size("items") < least_items).select("row.*")
+    return _judged(documents, benchmark, BLOCK_BYTES).where(F.size("items") < least_items).select("row.*")
 
 
 def longest_matches(documents: DataFrame, benchmark: DataFrame, least: int = WINDOW) -> DataFrame:
@@ -262,9 +295,9 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, least: int = WIN
             out: list[tuple] = []
             for test in tests:
                 for lo, _, _, owner, shard in _shards(texts, test):
-                    low, high, _ = shard.longest(test)
-                    rows, suffix = _spread(low, high)
-                    spot = shard.array[rows]
+                    reach = np.flatnonzero(shard.longest(test) >= test.need)
+                    rows, suffix = _spread(*shard.places(test, reach))
+                    spot, suffix = shard.array[rows], reach[suffix]
                     code = np.searchsorted(test.vocabulary, test.words) + 1
                     size = shard._shared(spot, suffix, code, test.left)
                     best: dict[tuple[int, int], tuple] = {}
@@ -282,10 +315,8 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, least: int = WIN
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     schema = "doc_id long, item_id string, doc_word long, item_word long, n_words long"
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return common.map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
-    return find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+    return find_hits(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")).drop("items")
