@@ -1,10 +1,12 @@
 """Chat formatting: tool calls linked to their results, in DataFrame functions.
 
 Calls and results are hash-joined by conversation and identifier. Calls that
-wait for another call's result are ordered topologically: a call's depth is the
-length of its chain of prerequisites, found by pointer doubling, so that a
-conversation of n calls takes log2 n joins on unique keys and no task ever
-holds a whole conversation. Arguments are checked against the schema of the
+wait for other calls' results are ordered topologically: a call's depth is the
+length of the longest way from a call that waits for none. Calls with a single
+prerequisite form chains, which pointer doubling shortens: a chain of n calls
+takes log2 n joins on unique keys, and no task ever holds a whole conversation.
+Calls with several are settled level by level over what the chains leave. Calls
+on a cycle, or that wait for one, are told by a null depth. Arguments are checked against the schema of the
 call's name, and everything is written as canonical JSON: keys sorted, no white
 space, null fields left out.
 """
@@ -15,6 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from . import common
 
@@ -43,28 +46,63 @@ def argument_faults(name: Column, arguments: Column, schemas: Schemas) -> Column
     return out.otherwise(F.array(F.lit("unknown_tool")))
 
 
-def depths(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, after -> conv_id, call_id, depth. A prerequisite that
-    is no call of the conversation counts as none. Depth is null for calls that
-    wait for a cycle, or are on one."""
-    named = calls.select("conv_id", F.col("call_id").alias("after"), F.lit(True).alias("there"))
-    state = calls.join(named, ["conv_id", "after"], "left").select("conv_id", "call_id", F.when(F.col("there"), F.col("after")).alias("up"))
-    state = common.materialise(state.withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1)), "call-depths")
-    waiting = state.where("up is not null").count()
+def edges(calls: DataFrame) -> DataFrame:
+    """conv_id, call_id, after: a row per prerequisite that is a call of the
+    conversation. `after` of calls is an identifier or an array of them."""
+    waits = F.explode("after") if isinstance(calls.schema["after"].dataType, ArrayType) else F.col("after")
+    named = calls.select("conv_id", F.col("call_id").alias("after")).distinct()
+    return calls.select(*KEY, waits.alias("after")).where("after is not null").distinct().join(named, ["conv_id", "after"]).select(*KEY, "after")
+
+
+def _chains(state: DataFrame) -> DataFrame:
+    """conv_id, call_id, to, far, done -> the same, with `to` the end of the call's
+    chain and `far` its distance. A chain that runs into a cycle is never done."""
+    state = common.materialise(state, "call-chains")
+    waiting = state.where("not done").count()
     while waiting:
-        above = state.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        state = state.join(above, ["conv_id", "up"], "left").select("conv_id", "call_id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-        state = common.materialise(state, "call-depths")
-        left = state.where("up is not null").count()
+        above = state.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"), F.col("done").alias("ended"))
+        ahead = state.where("not done").join(above, ["conv_id", "to"]).select(*KEY, F.col("next").alias("to"), (F.col("far") + F.col("more")).alias("far"), F.col("ended").alias("done"))
+        before, state = state, common.materialise(state.where("done").select(*KEY, "to", "far", "done").unionByName(ahead), "call-chains")
+        common.discard(before)
+        left = state.where("not done").count()
         if left == waiting:
             break
         waiting = left
-    return state.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+    return state
+
+
+def depths(calls: DataFrame) -> DataFrame:
+    """conv_id, call_id, after -> conv_id, call_id, depth. Prerequisites that are
+    no calls of the conversation count as none. Depth is null for calls that
+    wait for a cycle, or are on one."""
+    waits = common.materialise(edges(calls), "call-edges")
+    known = calls.select(*KEY).distinct()
+    several = waits.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("after").alias("after"))
+    ends = known.join(several, KEY, "left")
+    single = F.coalesce(F.col("n") == 1, F.lit(False))
+    chains = _chains(ends.select(*KEY, F.when(single, F.col("after")).otherwise(F.col("call_id")).alias("to"), F.when(single, 1).otherwise(0).alias("far"), (~single).alias("done")))
+    joins = common.materialise(several.where("n > 1").select(*KEY), "call-joins")
+    # what a call with several prerequisites waits for, and how far above it is
+    at = chains.select("conv_id", F.col("call_id").alias("after"), F.when(F.col("done"), F.col("to")).alias("to"), (F.col("far") + 1).alias("far"))
+    above = common.materialise(waits.join(joins, KEY, "left_semi").join(at, ["conv_id", "after"]).select(*KEY, "to", "far"), "call-levels")
+    settled = common.materialise(chains.where("done and far = 0").join(joins, KEY, "left_anti").select(*KEY, F.lit(0).alias("depth")), "call-depths")
+    waiting = joins.count()
+    while waiting:
+        here = settled.select("conv_id", F.col("call_id").alias("to"), "depth")
+        ready = above.join(settled, KEY, "left_anti").join(here, ["conv_id", "to"], "left").groupBy(*KEY).agg(F.max(F.col("far") + F.col("depth")).alias("depth"), F.count("*").alias("n"), F.count("depth").alias("told"))
+        ready = common.materialise(ready.where("n = told").select(*KEY, F.col("depth").cast("int").alias("depth")), "call-depths")
+        found = ready.count()
+        if not found:
+            break
+        settled, waiting = common.materialise(settled.unionByName(ready), "call-depths"), waiting - found
+    end = settled.select("conv_id", F.col("call_id").alias("to"), "depth")
+    return chains.join(end, ["conv_id", "to"], "left").select(*KEY, F.when(F.col("done"), F.col("depth") + F.col("far")).alias("depth"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """calls (conv_id, call_id, turn, name, arguments JSON, after) and results
-    (conv_id, call_id, turn, content) -> a row per call and per result.
+    """calls (conv_id, call_id, turn, name, arguments JSON, after: an identifier
+    or an array of them) and results (conv_id, call_id, turn, content) -> a row
+    per call and per result.
 
     Columns: conv_id, turn, kind, call_id, depth (even for calls, odd for their
     results, so that sorting a conversation by depth and turn is an order in
@@ -77,7 +115,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     heads = first(calls).withColumnRenamed("first_turn", "call_turn")
     tails = first(results).withColumnRenamed("first_turn", "result_turn")
     pairs = heads.hint("shuffle_hash").join(tails, KEY, "full")
-    prior = calls.select(*KEY, "turn", "after").join(heads.withColumnRenamed("call_turn", "turn"), [*KEY, "turn"], "left_semi").groupBy(*KEY).agg(F.min("after").alias("after"))
+    # all prerequisites of all rows that stand for the call
+    prior = calls.select(*KEY, "turn", "after").join(heads.withColumnRenamed("call_turn", "turn"), [*KEY, "turn"], "left_semi")
     order = pairs.join(depths(prior), KEY, "left")
     parsed = F.try_parse_json(F.col("arguments"))
     parsed = F.when(F.json_object_keys(F.col("arguments")).isNotNull(), parsed)
