@@ -33,7 +33,8 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 # The patterns of the base spans.
 EMAIL_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 EMAIL_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# a match never begins inside a run of digits: looking there only would cost the square of the run's length
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -48,6 +49,15 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def is_ip(found: str) -> bool:
+    return all(len(p.lstrip("0")) <= 3 and int(p[-9:]) <= 255 for p in found.split("."))
+
+
+def is_card(found: str) -> bool:
+    digits = found.replace(" ", "").replace("-", "")
+    return 14 <= len(digits) <= 19 and luhn(digits)
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Walks from @ to @, so that long runs of letters cost nothing extra."""
     taken, at = 0, text.find("@")
@@ -66,11 +76,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place, end), in order."""
     out = [(a, 0, b) for a, b in _emails(text)]
     if _DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p[-9:]) <= 255 for p in m.group().split("."))]
-        for m in CARD.finditer(text):
-            digits = m.group().replace(" ", "").replace("-", "")
-            if 14 <= len(digits) <= 19 and luhn(digits):
-                out.append((m.start(), 2, m.end()))
+        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if is_ip(m.group())]
+        out += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if is_card(m.group())]
         for m in PHONE.finditer(text):
             if 10 <= sum(c.isdigit() for c in m.group()) <= 15:
                 out.append((m.start(), 3, m.end()))
@@ -107,11 +114,10 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     at = np.flatnonzero(kept & inside)
     word = np.searchsorted(first, at, side="right") - 1
     lead = np.searchsorted(at, first)
-    place = np.minimum(np.arange(len(at)) - lead[word], 11)
-    power = np.cumprod(np.full(12, 0x9E3779B97F4A7C15, np.uint64))
+    place = np.arange(len(at)) - lead[word]
+    power = np.cumprod(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
     count = np.bincount(word, minlength=len(first))
-    value = np.where(np.arange(len(at)) - lead[word] < 12, BYTE_VALUE[kind[at]] * power[place], np.uint64(0))
-    shape = mix(np.add.reduceat(value, lead) + np.minimum(count, 12).astype(np.uint64))
+    shape = mix(np.add.reduceat(BYTE_VALUE[kind[at]] * power[place], lead) + count.astype(np.uint64))
     size = np.searchsorted([2, 4, 7, 10, 14, 20, 32], last - first, side="right").astype(np.uint64)
     digits = np.add.reduceat(((buf >= 0x30) & (buf < 0x3A)).astype(np.int64), first)
     whole = np.searchsorted([1, 2, 4, 7, 10, 14], digits, side="right").astype(np.uint64)
@@ -167,6 +173,14 @@ class Field:
         return label
 
 
+def _valid(digits: str) -> str:
+    return next(digits + d for d in "0123456789" if luhn(digits + d))
+
+
+def _grouped(digits: str, sign: str) -> str:
+    return sign.join(digits[k : k + 4] for k in range(0, len(digits), 4))
+
+
 def examples(n: int = 400, seed: int = 11) -> list[tuple[str, list[tuple[str, str]]]]:
     """The labelled table: lines of made-up words with values of each kind among
     them, and look-alikes that are none (prices, dates, versions, hashes of few
@@ -184,7 +198,7 @@ def examples(n: int = 400, seed: int = 11) -> list[tuple[str, list[tuple[str, st
     make = {
         "email": lambda: f"{plain(r.randint(3, 9))}{r.choice(['.', '_', ''])}{num(2)}@{plain(5)}{num(1)}.{plain(7)}.com",
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
-        "card": lambda: r.choice([num(16), " ".join(num(4) for _ in range(4)), "-".join(num(4) for _ in range(4))]),
+        "card": lambda: _grouped(_valid(num(15)), r.choice(["", " ", "-"])),
         "phone": lambda: r.choice([f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}"]),
         "secret": lambda: r.choice(['token = "{}"', "token = {}", "password = {}", 'key = "{}"']).format(hexa(r.choice([32, 40, 64]))),
     }
@@ -264,9 +278,38 @@ def default_field() -> Field:
     return train(examples())
 
 
+def _values(text: str, kind: str) -> Iterator[tuple[int, int]]:
+    """Where the values are in a run of words with one label, without the signs
+    around them. Cards and addresses are held to their kind's own rule, and words
+    side by side may be several of them: the shortest that fit, from the left."""
+    words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    trimmed = []
+    for a, b in words:
+        inner = text[a:b].lstrip(_TRIM)
+        a = b - len(inner)
+        trimmed.append((a, a + len(inner.rstrip(_TRIM))))
+    if kind not in ("ip", "card"):
+        if trimmed[0][0] < trimmed[-1][1]:
+            yield trimmed[0][0], trimmed[-1][1]
+        return
+    shape, holds = (IP, is_ip) if kind == "ip" else (CARD, is_card)
+    k = 0
+    while k < len(trimmed):
+        a, step = trimmed[k][0], 1
+        for j in range(k, min(k + 19, len(trimmed))):  # a card has 19 digits at most, a word one at least
+            found = text[a : trimmed[j][1]]
+            if shape.fullmatch(found) and holds(found):
+                yield a, trimmed[j][1]
+                step = j - k + 1
+                break
+            if kind == "ip" or len(found) > 40:
+                break
+        k += step
+
+
 def field_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:
-    """Spans that the field finds in each text: words of one label in a row, in
-    one line, without the signs around them."""
+    """Spans that the field finds in each text: values (_values) in words of one
+    label in a row, in one line."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for lo, hi in slices(raw):
@@ -278,15 +321,16 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int
         new = np.ones(len(found), bool)
         new[1:] = (np.diff(found) != 1) | (label[found[1:]] != label[found[:-1]]) | (line[found[1:]] != line[found[:-1]])
         group = np.flatnonzero(new)
+        text, done, left = -1, 0, 0
         for a, b in zip(found[group], found[np.append(group[1:], len(found)) - 1], strict=True):
             k = lo + int(owner[a])
-            text = raw[k][start[a] : end[b]].decode("utf-8", "surrogatepass")
-            left = len(raw[k][: start[a]].decode("utf-8", "surrogatepass"))
-            inner = text.lstrip(_TRIM)
-            left += len(text) - len(inner)
-            inner = inner.rstrip(_TRIM)
-            if inner:
-                out[k].append((left, int(label[a]) - 1, left + len(inner)))
+            if k != text:
+                text, done, left = k, 0, 0
+            # code points up to here, counted from the run before
+            left += len(raw[k][done : start[a]].decode("utf-8", "surrogatepass"))
+            done = start[a]
+            kind = int(label[a]) - 1
+            out[k] += [(left + x, kind, left + y) for x, y in _values(raw[k][start[a] : end[b]].decode("utf-8", "surrogatepass"), KINDS[kind])]
     return out
 
 
@@ -326,7 +370,7 @@ def find(documents: DataFrame, field: Field | None = None) -> DataFrame:
             digest = [hashlib.sha256(written(b).encode()).hexdigest() for b in base]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest), pa.array([written(e) for e in every], pa.string())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return common.map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, SCHEMA)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
