@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from . import common
 
 THRESHOLD = 0.5
-ROUNDS = 12
+#: Rounds of estimation end once no chance moves by SETTLED, or at ROUNDS.
+ROUNDS, SETTLED = 60, 1e-3
 #: Weight of the rules' believed accuracies, as a share of all texts.
 BELIEF = 0.1
 LEAST_WORDS = 50
@@ -131,6 +132,9 @@ class Accuracies:
     def __init__(self, right: dict[str, tuple[float, float]], good: float):
         self.right, self.good = right, good
 
+    def chances(self) -> list[float]:
+        return [self.good, *(x for both in self.right.values() for x in both)]
+
     def posterior(self) -> Column:
         odds = F.lit(log(self.good / (1 - self.good)))
         for rule, (on_good, on_bad) in self.right.items():
@@ -161,7 +165,11 @@ def estimate(patterns: DataFrame, rules: list[str], rounds: int = ROUNDS) -> Acc
         extra = max(10.0, BELIEF * row["n"])
         chance = lambda k, belief, row=row, extra=extra: min(max((row[f"{k}_right"] + extra * belief) / (row[f"{k}_votes"] + extra), 0.001), 0.999)
         right = {r: (chance(f"{r}_g", 0.98), chance(f"{r}_b", 0.3)) for r in rules}
-        found = Accuracies(right, min(max((row["good"] + 8) / (row["n"] + 10), 0.5), 0.99))
+        now = Accuracies(right, min(max((row["good"] + 8) / (row["n"] + 10), 0.01), 0.99))
+        moved = max(abs(a - b) for a, b in zip(now.chances(), found.chances(), strict=True))
+        found = now
+        if moved < SETTLED:
+            break
     return found
 
 
