@@ -51,19 +51,25 @@ class LineStore:
     """Levelled runs of line hashes, as bucketed tables of the session's catalog.
 
     A run holds h1, h2 and `seen`; rows with seen set are the batch's own notes
-    on hashes of older runs and are no part of the run.
+    on hashes of older runs and are no part of the run. A store given the name
+    of an earlier one goes on with its runs: their levels are in their names.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = FANOUT, name: str | None = None):
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = name or f"line_runs_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = [[]]
-        self.name = f"line_runs_{uuid.uuid4().hex}"
         self.made = 0
+        for table in sorted(t.name for t in spark.catalog.listTables(pattern=f"{self.name}_*")) if name else []:
+            level, number = (int(x) for x in table.removeprefix(f"{self.name}_").split("_"))
+            self.levels += [[] for _ in range(level + 1 - len(self.levels))]
+            self.levels[level].append(table)
+            self.made = max(self.made, number)
 
-    def _save(self, df: DataFrame) -> str:
+    def _save(self, df: DataFrame, level: int) -> str:
         self.made += 1
-        table = f"{self.name}_{self.made}"
+        table = f"{self.name}_{level}_{self.made}"
         df.repartition(self.buckets, *HASH).write.bucketBy(self.buckets, *HASH).sortBy(*HASH).format("parquet").saveAsTable(table)
         return table
 
@@ -78,25 +84,32 @@ class LineStore:
             marks.append(F.coalesce(F.col(f"in{k}"), F.lit(False)))
             keys = keys.join(run.select(*HASH, F.lit(True).alias(f"in{k}")), HASH, "left")
         seen = reduce(lambda a, b: a | b, marks, F.lit(False))
-        table = self._save(keys.select(*HASH, "first", "last", seen.alias("seen")))
+        table = self._save(keys.select(*HASH, "first", "last", seen.alias("seen")), 0)
         self.levels[0].append(table)
+        # out of the buckets: a join of two plain tables can be split at a line that is everywhere
+        repeated = common.materialise(self.spark.table(table).where("seen or last > first").select(*HASH, "first", "seen"), "repeated-lines")
         self._compact()
-        repeated = self.spark.table(table).where("seen or last > first").select(*HASH, "first", "seen")
         return lines.join(repeated, HASH).where("seen or doc > first").select("doc", "text_hash", "pos")
 
     def _compact(self) -> None:
-        """Old runs stay until close(): a batch's rows may still be read from them."""
+        """FANOUT runs of a level become one of the next, and go."""
         for k, level in enumerate(self.levels):
             if len(level) >= self.fanout:
                 merged = reduce(DataFrame.unionByName, [self.spark.table(t).where("not seen").select(*HASH, "seen") for t in level])
                 if k + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[k + 1].append(self._save(merged))
-                level.clear()
+                self.levels[k + 1].append(self._save(merged, k + 1))
+                self._drop(level)
 
-    def close(self) -> None:
-        for k in range(self.made):
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{k + 1}")
+    def _drop(self, level: list[str]) -> None:
+        for table in level:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        level.clear()
+
+    def drop(self) -> None:
+        """Deletes all runs."""
+        for level in self.levels:
+            self._drop(level)
 
 
 def batches(rows: DataFrame, n: int) -> list[DataFrame]:
@@ -128,8 +141,10 @@ def drop_lines(documents: DataFrame, n_batches: int = BATCHES, text: bool = True
     spark = documents.sparkSession
     rows = documents.select("doc_id", common.doc_key().alias("doc"), text_of().alias("text"))
     store = LineStore(spark)
-    parts = [common.materialise(store.add(line_rows(part)), "dropped-lines") for part in batches(rows, n_batches)]
-    store.close()
+    try:
+        parts = [common.materialise(store.add(line_rows(part)), "dropped-lines") for part in batches(rows, n_batches)]
+    finally:
+        store.drop()
     dropped = reduce(DataFrame.union, parts).groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     whole = documents.select(common.doc_key().alias("doc"), text_of().alias("text"), F.struct("*").alias("row")) if text else rows.withColumn("row", F.struct("doc"))
     joined = whole.withColumn("text_hash", F.xxhash64("text")).join(dropped, ["doc", "text_hash"], "left")

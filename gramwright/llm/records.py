@@ -102,8 +102,9 @@ def write_records(documents: DataFrame, folder: str, tokenizer: str, end: int =
     """Encodes and writes all documents; returns the manifest, a row per shard.
 
     Null texts are empty and give the end id alone. Rows without a doc_id come
-    last, as id NO_ID; rows with the same id stay apart, in the order of their
-    texts. An empty table gives an empty manifest. Other columns are ignored.
+    last, as id NO_ID; rows with the same id, or without one, stay apart, in the
+    order of a hash of their texts, and can fill any number of shards. An empty
+    table gives an empty manifest. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,8 +126,9 @@ def write_records(documents: DataFrame, folder: str, tokenizer: str, end: int =
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "shard", "path", "index_path", "n_records", "n_tokens", "n_bytes"])
 
     rows = documents.select(common.doc_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return common.materialise(ordered.mapInArrow(run, MANIFEST), "records-manifest")
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "text").drop("text_hash")
+    return common.materialise(common.map_batches(ordered, run, MANIFEST), "records-manifest")
 
 
 def read_records(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:

@@ -175,10 +175,13 @@ def test_lines(spark, docs, plain):
 def test_line_runs_are_compacted(spark):
     store = line_dedup.LineStore(spark, buckets=2, fanout=2)
     for k in range(5):
+        if k == 3:  # another session would go on so
+            store = line_dedup.LineStore(spark, buckets=2, fanout=2, name=store.name)
         rows = spark.createDataFrame([(k, "shared by all of them\nonly in number %d" % k)], "doc long, text string")
         assert common.materialise(store.add(line_dedup.line_rows(rows)), "t").count() == (k > 0)
     assert [len(x) for x in store.levels] == [1, 0, 1] and sum(r.count() for r in store.runs()) == 6
-    store.close()
+    store.drop()
+    assert not line_dedup.LineStore(spark, name=store.name).runs()
 
 
 def test_benchmark(spark, docs):
@@ -197,12 +200,13 @@ def test_benchmark(spark, docs):
     assert decontaminate.find_hits(empty(spark), bench).count() == 0
 
 
-def test_benchmark_in_blocks(spark, monkeypatch):
+def test_benchmark_in_blocks(spark):
     bench = spark.createDataFrame([(k, f"w{k} w{k + 1} w{k + 2}") for k in range(30)], "item_id long, text string")
     table = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k, k + 12))) for k in range(20)], "doc_id long, text string")
+    table = table.union(spark.createDataFrame([(50, None), (51, "nothing of it")], "doc_id long, text string"))
     whole = sorted(decontaminate.find_hits(table, bench).collect())
-    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (40,))
-    assert sorted(decontaminate.find_hits(table, bench).collect()) == whole and whole[0]["n_items"] == 10
+    for limit in (40, 200):
+        assert sorted(decontaminate.find_hits(table, bench, block_bytes=limit).collect()) == whole and whole[0]["n_items"] == 10
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
