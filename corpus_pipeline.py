@@ -23,7 +23,10 @@ NEAR = 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored at THRESHOLD or more go. The machine is trained on the
-    labelled rows of docs that are not held out."""
+    labelled rows of docs that are not held out. Null and empty texts get the
+    score of a text without terms; rows are judged one by one, whether their
+    doc_id is null or repeated; without labels, or with one class alone, all get
+    the same score, the share of toxic labels, and an empty table stays empty."""
     machine = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
     name = "toxicity_score"
     while name in docs.columns:
@@ -32,7 +35,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document has go; n_chars follows the text."""
+    """Lines that an earlier document has go; n_chars follows the text. Null and
+    empty texts are one empty line and stay as they are. Rows with the same doc_id
+    are one document and keep what they share; those without a doc_id are one
+    after all others. An empty table stays empty."""
     found = line_dedup.drop_lines(docs)
     new = {"text": F.when(F.col("row.text").isNotNull(), F.col("kept"))}
     if "n_chars" in docs.columns:
@@ -43,7 +49,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the smallest doc_id of each group linked at NEAR stays; rows
     without a doc_id come after all others. Rows are linked one by one, by a key
-    of their own: what a row's doc_id shares with other rows does not matter."""
+    of their own: what a row's doc_id shares with other rows does not matter. Of
+    equal rows one stays. Texts without words, null or not, are like no other and
+    stay; an empty table stays empty."""
     name = "row_key"
     while name in docs.columns:
         name += "_"
@@ -60,12 +68,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of any benchmark item go. One item is enough here;
-    the two items of LEAST_ITEMS only make op8's column `contaminated`."""
+    the two items of LEAST_ITEMS only make op8's column `contaminated`. Texts
+    without words stay, and all do if the benchmark is empty. Rows are judged one
+    by one, whatever their doc_id; an empty table stays empty."""
     return decontaminate.remove_contaminated(docs, common.table(spark, sf_dir, "benchmark"), least_items=1)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"), memory=WORDS)
+    """Pieces of token ids in sequences, with their ids (little-endian u32). Null
+    and empty texts give the end id alone; rows are packed one by one, whatever
+    their doc_id; an empty table gives no pieces."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), with_ids=True, memory=WORDS)
 
 
 STAGES = [
