@@ -14,8 +14,9 @@ that positions are left out first that cannot matter, or whose fate is certain:
    the first of its equals is covered whole, and if all runs of a gram are equal,
    the first of them occurs nowhere before. Both are settled.
 3. Of the others, the first of each kind is cut by its strings' distance to the
-   gram into parts of STEP strings, which share CORE bytes around it: parts are
-   settled by (core, whole part, position) as in 2.
+   gram into parts of STEPS[0] strings, which share a core of bytes around it:
+   parts are settled by (core, whole part, position) as in 2, and the first of
+   each kind that is left is cut on into parts of STEPS[1].
 4. The strings of the parts that are left, and the places HALF bytes after them,
    go through prefix doubling. Ranks of QUARTER bytes are hashes. Pairs of ranks
    (at a position, QUARTER further) are sorted with their positions; numbers in
@@ -36,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +50,11 @@ from .common import BYTE_VALUE, mix, utf8
 
 LENGTH = 100
 ANCHOR = 32
-STEP, CORE = 8, 93
+#: Strings of a part, and of a part of it.
+STEPS = (8, 2)
 QUARTER, HALF = LENGTH // 4, LENGTH // 2
 #: Bits of each map; fixed, whatever the input.
-MAP_BITS = 1 << 27
+MAP_BITS, DOC_BITS = 1 << 27, 1 << 25
 _PASS = 1 << 18
 
 #: Most rows of a sorted partition, on average.
@@ -63,7 +66,7 @@ ORDER = ["k1", "k2", "doc", "text_hash", "start"]
 RESULT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 #: A multiplier for each length that names are joined to.
-_BY = {n: np.uint64(k) for n, k in zip((2, 4, 8, 16, 24, 25, 32, 64, 80, 88, 92, 93, 96, 100), np.random.default_rng(17).integers(1, 2**62, 14, dtype=np.uint64) * np.uint64(2) + np.uint64(1), strict=True)}
+_BY = {n: np.uint64(k) for n, k in zip((2, 3, 4, 8, 16, 24, 25, 32, 64, 80, 88, 92, 93, 96, 99, 100), np.random.default_rng(17).integers(1, 2**62, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1), strict=True)}
 
 
 class Names:
@@ -79,7 +82,7 @@ class Names:
     def __call__(self, n: int, at: np.ndarray) -> np.ndarray:
         if n in self.of:
             return self.of[n][at]
-        first = {24: 16, 25: 24, 64: 32, 80: 64, 88: 80, 92: 88, 93: 92, 96: 64, 100: 96}[n]
+        first = {3: 2, 24: 16, 25: 24, 64: 32, 80: 64, 88: 80, 92: 88, 93: 92, 96: 64, 99: 96, 100: 96}[n]
         return self(first, at) * _BY[n] + self(n - first, at + first)
 
 
@@ -139,16 +142,16 @@ class Runs:
             if hasattr(self, k):
                 setattr(self, k, getattr(self, k)[keep])
 
-    def cut(self) -> None:
-        """Into parts of strings whose distance to the gram has the same quotient by STEP."""
-        far, near = (self.at - self.first) // STEP, (self.at - self.last) // STEP
+    def cut(self, step: int) -> None:
+        """Into parts of strings whose distance to the gram has the same quotient by step."""
+        far, near = (self.at - self.first) // step, (self.at - self.last) // step
         n = far - near + 1
         who = np.repeat(np.arange(len(n)), n)
         k = np.repeat(far, n) - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
         first, last, at = self.first[who], self.last[who], self.at[who]
-        self.first, self.last = np.maximum(first, at - k * STEP - STEP + 1), np.minimum(last, at - k * STEP)
+        self.first, self.last = np.maximum(first, at - k * step - step + 1), np.minimum(last, at - k * step)
         self.at, self.owner = at, self.owner[who]
-        self.gram = mix(mix(self.names(CORE, at - k * STEP)) + k.astype(np.uint64))
+        self.gram = mix(mix(self.names(LENGTH - step + 1, at - k * step)) + k.astype(np.uint64))
         self.whole = self._whole(self.first, self.last, at)
 
     def single(self) -> None:
@@ -173,10 +176,10 @@ def _rows(documents: DataFrame) -> DataFrame:
     return documents.select(common.doc_key().alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def _scan(rows: DataFrame, grams=None, heads=None, parts=None) -> DataFrame:
-    """Grams of all runs; or runs, of the grams in a map. With heads, a map of
-    runs, those of them are cut into parts; with parts, a map as well, those of
-    these into single strings."""
+def _scan(rows: DataFrame, grams=None, heads=(), single: bool = False) -> DataFrame:
+    """Grams of all runs; or runs, of the grams in a map. heads are maps: of
+    runs, of which those it has are cut into parts of STEPS[0] strings, of parts
+    to be cut on by STEPS[1], ..., the last one, if single, into single strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,20 +188,18 @@ def _scan(rows: DataFrame, grams=None, heads=None, parts=None) -> DataFrame:
             while lo < len(doc):
                 # texts are unpacked a pass at a time
                 hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:]), _PASS, side="right")) + lo)
-                found = Runs(utf8(batch.column(2).slice(lo, hi - lo)))
+                found, mine = Runs(utf8(batch.column(2).slice(lo, hi - lo))), doc[lo:hi]
                 if grams is None:
                     yield pa.RecordBatch.from_arrays([pa.array(found.gram.view(np.int64))], names=["gram"])
                 else:
-                    mine = doc[lo:hi]
                     found.pick(common.in_bitmap(grams.value, (found.gram & np.uint64(MAP_BITS - 1)).astype(np.int64)))
                     found.name()
-                    head = lambda bits, found=found, mine=mine: common.in_bitmap(bits.value, (found.whole.view(np.int64) ^ mine[found.owner]) & (MAP_BITS - 1))
-                    if heads is not None:
-                        found.pick(head(heads))
-                        found.cut()
-                    if parts is not None:
-                        found.pick(head(parts))
-                        found.single()
+                    for k, bits in enumerate(heads):
+                        found.pick(common.in_bitmap(bits.value, (found.whole.view(np.int64) ^ mine[found.owner]) & (MAP_BITS - 1)))
+                        if single and k + 1 == len(heads):
+                            found.single()
+                        else:
+                            found.cut(STEPS[k])
                     yield found.batch(mine, text_hash[lo:hi])
                 lo = hi
 
@@ -302,10 +303,10 @@ def rerank(rows: DataFrame, name: str, repeats: bool = False) -> DataFrame:
 
 
 def _settle(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Steps 2 and 3: spans of the rows that occur before, and (slot) the first
-    rows of each kind where k1 has several."""
+    """Step 2, and 3: spans of the rows that occur before, and (slot, doc) the
+    first rows of each kind where k1 has several."""
     found = rerank(rows, name)
-    heads = found.where("first and several").select(F.pmod(F.col("k2").bitwiseXOR(F.col("doc")), F.lit(MAP_BITS)).alias("slot"))
+    heads = found.where("first and several").select(F.pmod(F.col("k2").bitwiseXOR(F.col("doc")), F.lit(MAP_BITS)).alias("slot"), "doc")
     return found.where("not first").select("doc", "text_hash", "start", (F.col("start") + F.col("more") + LENGTH).alias("stop")), heads
 
 
@@ -315,6 +316,7 @@ def double(rows: DataFrame) -> DataFrame:
     before."""
     offset = HALF
     found = rerank(rows, "ranks", repeats=True)
+    common.discard(rows)
     while offset < LENGTH:
         alive = found.where("many")
         ahead = alive.select("doc", "text_hash", (F.col("start") - offset).alias("start"), F.col("rank").alias("k2")).distinct()
@@ -333,50 +335,42 @@ def covered_spans(documents: DataFrame) -> DataFrame:
     rows = _rows(documents)
     grams = _scan(rows).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     in_grams = send(grams.select(F.pmod("gram", F.lit(MAP_BITS)).alias("slot")))
-    runs = common.materialise(_scan(rows, in_grams), "runs")
-    spans, heads = _settle(runs, "run-ranks")
-    common.discard(runs)
-    in_heads = send(heads)
-    parts = common.materialise(_scan(rows, in_grams, in_heads), "parts")
-    more, heads = _settle(parts, "part-ranks")
-    common.discard(parts)
-    strings = common.materialise(_scan(rows, in_grams, in_heads, send(heads)), "strings")
-    last = double(strings)
-    common.discard(strings)
-    return spans.union(more).union(last)
-
-
-def _cut(text: bytes, starts: list[int], stops: list[int]) -> tuple[bytes, int, int]:
-    """The rest of a text, and the bytes and maximal runs removed from it."""
-    if not starts:
-        return text, 0, 0
-    edge = np.zeros(len(text) + 1, np.int64)
-    np.add.at(edge, np.array(starts), 1)
-    np.add.at(edge, np.array(stops), -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), n_spans
+    heads, spans = [], []
+    for _ in range(len(STEPS) + 1):
+        parts = common.materialise(_scan(rows, in_grams, heads), "runs")
+        more, left = _settle(parts, "run-ranks")
+        common.discard(parts)
+        spans.append(more)
+        heads.append(send(left))
+        # texts without any head have no more to tell
+        held = common.mapped(spark, left.select(common.doc_slot("doc", DOC_BITS).alias("slot")), DOC_BITS)
+        rows = rows.where(held(common.doc_slot("doc", DOC_BITS)))
+    strings = common.materialise(_scan(rows, in_grams, heads, single=True), "strings")
+    spans.append(double(strings))
+    return reduce(DataFrame.union, spans)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is left of texts (doc, text, spans), all texts of a batch at once."""
     for batch in batches:
-        out = []
-        for text, spans in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            spans = spans or []
-            rest, removed, n = _cut(text, [s["start"] for s in spans], [s["stop"] for s in spans])
-            out.append((len(text), removed, n, hashlib.sha256(rest).hexdigest()))
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def _with_spans(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc, text, spans: documents that lose something, and the others."""
-    spans = covered_spans(documents).groupBy("doc", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    spans = common.materialise(spans, "spans")
-    may, others = common.split_by(_rows(documents), spans.select("doc"), key="doc")
-    touched = may.select("row.*").join(spans, ["doc", "text_hash"], "left").select("doc", "text", "spans")
-    return touched, others.select("doc", "row.text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+        texts = utf8(batch.column(1))
+        buf = np.frombuffer(b"".join(texts), np.uint8)
+        size = np.array([len(t) for t in texts], np.int64)
+        begin = np.cumsum(size) - size
+        lists = batch.column(2).fill_null([])
+        spans, base = lists.flatten(), np.repeat(begin, lists.value_lengths().to_numpy())
+        edge = np.bincount(spans.field("start").to_numpy() + base, minlength=len(buf) + 1) - np.bincount(spans.field("stop").to_numpy() + base, minlength=len(buf) + 1)
+        gone = np.cumsum(edge[:-1]) > 0
+        new = gone.copy()
+        new[1:] &= ~gone[:-1]
+        new[begin[size > 0]] = gone[begin[size > 0]]
+        upto = lambda x: np.concatenate([[0], np.cumsum(x)])
+        in_text = lambda x: upto(x)[begin + size] - upto(x)[begin]
+        removed, n_spans = in_text(gone), in_text(new)
+        rest = memoryview(buf[~gone])
+        stop = np.cumsum(size - removed)
+        digest = [hashlib.sha256(rest[b - n : b]).hexdigest() for b, n in zip(stop.tolist(), (size - removed).tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(removed), pa.array(n_spans), pa.array(digest, pa.string())], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
@@ -387,8 +381,13 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     without one, come in the order of a hash of their texts, equal texts at
     once. An empty table gives no rows. Other columns are ignored.
     """
-    touched, others = _with_spans(documents)
-    return common.map_batches(touched, _digest, RESULT).union(common.map_batches(others, _digest, RESULT))
+    spans = covered_spans(documents).groupBy("doc", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = common.materialise(spans, "spans")
+    may, others = common.split_by(_rows(documents), spans.select("doc"), key="doc")
+    touched = common.map_batches(may.select("row.*").join(spans, ["doc", "text_hash"], "left").select("doc", "text", "spans"), _digest, RESULT)
+    # nothing goes from the others: they need no Python
+    zero = F.lit(0).cast("long")
+    return touched.union(others.select("doc", F.octet_length("row.text").cast("long"), zero, zero, F.sha2("row.text", 256)))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
