@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a missing doc_id: such rows form one document after all others.
+#: Stands for a missing doc_id: such rows come after all others. A doc_id of this
+#: very value is not told apart from a missing one.
 NO_ID = 2**63 - 1
 
 #: Bytes of text handled by one numpy pass; a longer text makes a pass alone.

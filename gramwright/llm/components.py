@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-
-#: Steps; each at least halves what a chain still lacks, so that this suffices for any input.
-MOST_ROUNDS = 64
+from .common import discard, materialise
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
@@ -22,19 +19,19 @@ def connected(edges: DataFrame) -> DataFrame:
     that can be reached. Nodes without an edge to another are not returned.
 
     Every step leaves its edges in the shared folder, so that a lost executor
-    costs one step. Edges are never collected.
+    costs one step. Edges are never collected. Steps go on until one changes
+    nothing, which each brings nearer: a chain is about halved by a step.
     """
     links = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    mark = None
-    for _ in range(MOST_ROUNDS):
+    mark, settled = None, False
+    while not settled:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _stars(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: every node's smaller neighbours, itself among them, meet at the least
         small = _stars(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        links = materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "links")
+        before, links = links, materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "links")
+        discard(before)
         now = tuple(links.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first())
-        if now == mark:
-            break
-        mark = now
+        settled, mark = now == mark, now
     return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

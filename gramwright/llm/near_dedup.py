@@ -208,7 +208,9 @@ def confirm(pairs: DataFrame, reps: DataFrame, documents: DataFrame, link: int =
     texts = common.materialise(texts_of(documents, ids), "near-texts", small=True)
     named = lambda s: texts.select(F.col("doc").alias(s), F.col("text").alias(f"text_{s}"))
     both = near.join(named("a"), "a").join(named("b"), "b").select("a", "b", "text_a", "text_b")
-    return common.materialise(common.map_batches(both, lambda batches: _compare(batches, link), "a long, b long").distinct(), "near-links")
+    links = common.materialise(common.map_batches(both, lambda batches: _compare(batches, link), "a long, b long").distinct(), "near-links")
+    common.discard(near, texts)
+    return links
 
 
 def _linked(x: np.ndarray, y: np.ndarray, link: int) -> bool:
@@ -289,10 +291,12 @@ def link_components(documents: DataFrame, link: int = LINK) -> DataFrame:
     tiles = tiles.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(reps.select("doc", "bands", "sketch", "samples"), "doc").join(sets, "doc")
     tiles = tiles.select("key", "band", "doc", "comp", "block", "i", "j", "bands", "sketch", "samples", "shingles")
     more = common.materialise(tiles.groupBy("key", "i", "j").applyInArrow(lambda tile: _tile(tile, link), "a long, b long").distinct(), "tile-links")
+    common.discard(met, stars, at, sets)
     found = connected(links.union(more))
     of_class = reps.select("set_a", "set_b", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("set_a", "set_b", F.coalesce("component", "doc").alias("component"))
     # written first: a join of two plain tables can be split where one set has many documents
     of_class = common.materialise(of_class, "class-components")
+    common.discard(reps)
     out = signed.select("doc", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"], "left")
     return out.select("doc", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc")).alias("component"))
 

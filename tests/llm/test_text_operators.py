@@ -340,6 +340,36 @@ def test_accuracies_are_learnt(spark):
     assert abs(found.good - 0.8) < 0.08 and all(found.right[f"r{k}"][0] > 0.9 for k in range(3))
 
 
+def test_posterior_is_that_of_plain_estimation(spark, plain):
+    rules = list(quality.RULES)
+    rows = quality.judge(plain).collect()
+    votes = {r["doc_id"]: [r[f"vote_{x}"] for x in rules] for r in rows}
+    fit = [votes[r["doc_id"]] for r in rows if not r["base_failed"]]
+    right, good = [(0.98, 0.3)] * len(rules), 0.8
+
+    def posterior(v):
+        on_good = good * np.prod([a if x > 0 else 1 - a if x < 0 else 1 for x, (a, _) in zip(v, right, strict=True)])
+        on_bad = (1 - good) * np.prod([1 - b if x > 0 else b if x < 0 else 1 for x, (_, b) in zip(v, right, strict=True)])
+        return on_good / (on_good + on_bad)
+
+    extra = max(10.0, quality.BELIEF * len(fit))
+    for _ in range(quality.ROUNDS):
+        q = [posterior(v) for v in fit]
+        hold = lambda hits, all_, belief: min(max((hits + extra * belief) / (all_ + extra), 0.001), 0.999)
+        now = []
+        for k in range(len(rules)):
+            told = [(p, v[k]) for p, v in zip(q, fit, strict=True) if v[k]]
+            now.append((hold(sum(p for p, x in told if x > 0), sum(p for p, _ in told), 0.98), hold(sum(1 - p for p, x in told if x < 0), sum(1 - p for p, _ in told), 0.3)))
+        share = min(max((sum(q) + 8) / (len(fit) + 10), 0.01), 0.99)
+        moved = max(abs(share - good), *(abs(a - b) for x, y in zip(now, right, strict=True) for a, b in zip(x, y, strict=True)))
+        right, good = now, share
+        if moved < quality.SETTLED:
+            break
+    for r in rows:
+        want = posterior(votes[r["doc_id"]])
+        assert abs(r["posterior"] - want) < 1e-9 and r["kept"] == (not r["base_failed"] and want >= 0.5)
+
+
 def test_toxicity(spark):
     r = np.random.default_rng(3)
     insult, group, other = ["zorp", "grank"], ["veltans", "morbits"], [f"w{k}" for k in range(60)]
