@@ -108,3 +108,28 @@ def _numbers(raw: bytes, bits: int, n: int) -> np.ndarray:
         return np.frombuffer(raw, f"<u{bits // 8}", n).astype(float)
     flat = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")[: n * bits].reshape(n, bits)
     return flat @ (2.0 ** np.arange(bits))
+
+
+def write_front(n_variants: int, samples: list[str]) -> bytes:
+    """Header and sample block of a version 1.2 file, zlib-packed."""
+    names = b"".join(struct.pack("<H", len(x.encode())) + x.encode() for x in samples)
+    block = struct.pack("<II", 8 + len(names), len(samples)) + names
+    head = struct.pack("<III4sI", 20, n_variants, len(samples), b"bgen", 1 | 2 << 2 | 1 << 31)
+    return struct.pack("<I", len(head) + len(block)) + head + block
+
+
+def write_variant(rsid: str, chrom: str, pos: int, ref: str, alt: str, dosage: np.ndarray) -> bytes:
+    """A block with probabilities of 16 bits: of a dosage up to 1, that share is
+    heterozygous; beyond, what exceeds 1 has both. Whole dosages are exact."""
+
+    def text(kind: str, x: str) -> bytes:
+        return struct.pack(kind, len(x.encode())) + x.encode()
+
+    gone = np.isnan(dosage)
+    d = np.where(gone, 0.0, dosage)
+    both = np.maximum(d - 1, 0)
+    one = d - 2 * both
+    p = np.round(np.stack([1 - one - both, one], 1) * 65535).astype("<u2")
+    raw = struct.pack("<IHBB", len(d), 2, 2, 2) + np.where(gone, 0x82, 2).astype(np.uint8).tobytes() + bytes([0, 16]) + p.tobytes()
+    packed = zlib.compress(raw)
+    return text("<H", rsid) + text("<H", rsid) + text("<H", chrom) + struct.pack("<IH", pos, 2) + text("<I", ref) + text("<I", alt) + struct.pack("<II", len(packed) + 4, len(raw)) + packed

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,9 +14,14 @@ def place(i: Column, j: Column, n: int) -> Column:
     return lo * n - F.floor(lo * (lo + 1) / 2).cast("long") + hi - lo - 1
 
 
-def place_of(i: int, j: int, n: int) -> int:
-    lo, hi = min(i, j), max(i, j)
-    return lo * n - lo * (lo + 1) // 2 + hi - lo - 1
+def merged(starts: np.ndarray, sizes: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending reads [start, start + size) joined while what lies between is at
+    most gap: starts and stops of the joint reads, and the joint read of each."""
+    stops = np.maximum.accumulate(starts + sizes) if len(starts) else starts
+    new = np.ones(len(starts), bool)
+    new[1:] = starts[1:] - stops[:-1] > gap
+    first = np.flatnonzero(new)
+    return starts[first], stops[np.append(first[1:] - 1, len(starts) - 1)] if len(first) else first, np.cumsum(new) - 1
 
 
 def merge_ranges(offsets: DataFrame, size: int, gap: int, by: list[str] | None = None) -> DataFrame:

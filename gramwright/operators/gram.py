@@ -1,13 +1,16 @@
 """The Gram matrix of standardised variants, as its upper triangle (i, j, r).
 
 `gram` groups a sample's values into one row and sums products of pairs with
-map-side partial sums: for few variants. `blocked_gram` multiplies tiles of
-variants x samples by numpy: each tile meets each other block once, and what is
-shuffled are tiles, not products. `pick` chooses by the number of variants.
+map-side partial sums: for few variants. Beyond, tiles of variants x samples are
+multiplied by numpy. What is shuffled are slices of arrays, each once for every
+block of the other side, and, with more than one slice of samples, a tile of
+sums per pair of blocks and slice: cells become rows once, in the last task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +21,8 @@ FEW = 64
 #: Variants by samples of a tile: 32 MB of doubles.
 BLOCK, SLICE = 512, 8192
 
+CELLS = "i int, j int, r double"
+
 
 def gram(z: DataFrame) -> DataFrame:
     rows = z.groupBy("sample_id").agg(F.collect_list(F.struct("variant_idx", "z")).alias("v"))
@@ -27,55 +32,78 @@ def gram(z: DataFrame) -> DataFrame:
     return rows.select(F.inline(pairs)).groupBy("i", "j").agg(F.sum("p").alias("r"))
 
 
-def _product(table: pa.Table) -> pa.Table:
-    """Sums of products over one slice of samples, of two blocks of variants."""
-    block, variant, sample, z = (table.column(c).to_numpy() for c in ("block", "variant_idx", "sample_pos", "z"))
-    bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
-    samples, at = np.unique(sample, return_inverse=True)
-
-    def tile(b: int) -> tuple[np.ndarray, np.ndarray]:
-        mine = block == b
-        names, place = np.unique(variant[mine], return_inverse=True)
-        out = np.zeros((len(names), len(samples)))
-        out[place, at[mine]] = z[mine]
-        return names, out
-
-    left_names, left = tile(bi)
-    right_names, right = (left_names, left) if bi == bj else tile(bj)
-    i, j = np.repeat(left_names, len(right_names)), np.tile(right_names, len(left_names))
+def _cells(bi: int, bj: int, block: int, tile: np.ndarray) -> pa.Table:
+    """A tile's cells on and above the diagonal."""
+    i, j = np.repeat(np.arange(tile.shape[0]) + bi * block, tile.shape[1]), np.tile(np.arange(tile.shape[1]) + bj * block, tile.shape[0])
     keep = i <= j
-    return pa.table({"i": pa.array(i[keep], pa.int32()), "j": pa.array(j[keep], pa.int32()), "p": (left @ right.T).ravel()[keep]})
+    return pa.table({"i": pa.array(i[keep], pa.int32()), "j": pa.array(j[keep], pa.int32()), "r": tile.ravel()[keep]})
 
 
-def blocked_gram(z: DataFrame, n_variants: int, block: int = BLOCK, slice_: int = SLICE) -> DataFrame:
-    """z: sample_pos (0 .. samples - 1), variant_idx (0 .. n_variants - 1), z."""
+def _tiles(slices: DataFrame, n_variants: int, parts: int, block: int) -> DataFrame:
+    """slices: variant_idx, part, values (array of as many numbers in every row
+    of a part) -> the triangle. All variants must be there."""
     n = -(-n_variants // block)
-    cells = z.select((F.col("variant_idx") / block).cast("int").alias("block"), (F.col("sample_pos") / slice_).cast("int").alias("part"), "variant_idx", "sample_pos", "z")
-    met = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
-    met = met.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-    return met.groupBy("bi", "bj", "part").applyInArrow(_product, "i int, j int, p double").groupBy("i", "j").agg(F.sum("p").alias("r"))
-
+    met = slices.withColumn("block", (F.col("variant_idx") / block).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
+    met = met.select(F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "part", "block", "variant_idx", "values")
 
-def pick(z: DataFrame, n_variants: int) -> DataFrame:
-    """gram or blocked_gram; z has sample_id, variant_idx, z and sample_pos."""
-    return gram(z) if n_variants <= FEW else blocked_gram(z, n_variants)
+    def product(table: pa.Table) -> tuple[int, int, np.ndarray]:
+        block_of, variant = table.column("block").to_numpy(), table.column("variant_idx").to_numpy()
+        values = table.column("values").combine_chunks().flatten().to_numpy().reshape(len(variant), -1)
+        bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
+        side = lambda b: values[np.flatnonzero(block_of == b)[np.argsort(variant[block_of == b])]]
+        left = side(bi)
+        return bi, bj, left @ (left if bi == bj else side(bj)).T
+
+    def cells(table: pa.Table) -> pa.Table:
+        bi, bj, tile = product(table)
+        return _cells(bi, bj, block, tile)
+
+    def sums(table: pa.Table) -> pa.Table:
+        bi, bj, tile = product(table)
+        return pa.table({"bi": pa.array([bi], pa.int32()), "bj": pa.array([bj], pa.int32()), "width": pa.array([tile.shape[1]], pa.int32()), "tile": pa.array([tile.tobytes()], pa.binary())})
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, at = None, None
+        for batch in batches:
+            for bi, bj, width, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = np.frombuffer(data).reshape(-1, width)
+                tile, at = part if tile is None else tile + part, (bi, bj)
+        if tile is not None:
+            yield from _cells(*at, block, tile).to_batches()
+
+    if parts <= 1:
+        return met.groupBy("bi", "bj").applyInArrow(cells, CELLS)
+    summed = met.groupBy("bi", "bj", "part").applyInArrow(sums, "bi int, bj int, width int, tile binary")
+    return summed.groupBy("bi", "bj").applyInArrow(total, CELLS)
+
+
+def blocked_gram(z: DataFrame, n_variants: int, block: int = BLOCK, slice_: int = SLICE, n_samples: int | None = None) -> DataFrame:
+    """z: sample_pos (0 .. n_samples - 1), variant_idx (0 .. n_variants - 1), z;
+    a pair that z lacks is 0. Samples are counted if their number isn't given."""
+    if n_samples is None:
+        top = z.agg(F.max("sample_pos")).first()[0]
+        n_samples = 0 if top is None else top + 1
+    parts = -(-n_samples // slice_)
+    cells = z.select("variant_idx", (F.col("sample_pos") / slice_).cast("int").alias("part"), (F.col("sample_pos") % slice_).cast("int").alias("at"), "z")
+    every = z.sparkSession.range(n_variants).select(F.col("id").cast("int").alias("variant_idx"), F.explode(F.sequence(F.lit(0), F.lit(max(parts - 1, 0)))).alias("part"))
+    gathered = cells.groupBy("variant_idx", "part").agg(F.collect_list(F.struct("at", "z")).alias("cells"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2).fill_null([])
+            values = np.zeros((batch.num_rows, min(slice_, max(n_samples, 1))))
+            held = lists.flatten()
+            values[np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy()), held.field("at").to_numpy()] = held.field("z").to_numpy()
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], names=["variant_idx", "part", "values"])
+
+    wide = every.join(gathered, ["variant_idx", "part"], "left").select("variant_idx", "part", "cells")
+    return _tiles(wide.mapInArrow(spread, "variant_idx int, part int, values array<double>"), n_variants, parts, block)
 
 
 def tile_gram(variants: DataFrame, n_variants: int, n_samples: int, block: int = BLOCK, slice_: int = SLICE) -> DataFrame:
     """The same from variant-major rows (variant_idx, dosage array<double>):
     arrays are cut into slices, so that a row of the shuffle is a slice."""
-    n, parts = -(-n_variants // block), -(-n_samples // slice_)
+    parts = -(-n_samples // slice_)
     cut = variants.select("variant_idx", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(max(parts - 1, 0))), lambda k: F.slice("dosage", k * slice_ + 1, F.lit(slice_)))).alias("part", "values"))
-    met = cut.withColumn("block", (F.col("variant_idx") / block).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
-    met = met.select(F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "part", "block", "variant_idx", "values")
-
-    def product(table: pa.Table) -> pa.Table:
-        block_of, variant = table.column("block").to_numpy(), table.column("variant_idx").to_numpy()
-        values = table.column("values").combine_chunks().flatten().to_numpy().reshape(len(variant), -1)
-        left = block_of == table.column("bi")[0].as_py()
-        right = block_of == table.column("bj")[0].as_py()
-        i, j = np.repeat(variant[left], right.sum()), np.tile(variant[right], left.sum())
-        keep = i <= j
-        return pa.table({"i": pa.array(i[keep], pa.int32()), "j": pa.array(j[keep], pa.int32()), "p": (values[left] @ values[right].T).ravel()[keep]})
-
-    return met.groupBy("bi", "bj", "part").applyInArrow(product, "i int, j int, p double").groupBy("i", "j").agg(F.sum("p").alias("r"))
+    return _tiles(cut, n_variants, parts, block)

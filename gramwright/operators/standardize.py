@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NAN_ACTIONS = ("error", "mean", "omit")
@@ -31,32 +31,33 @@ def resolve_missing(dosage: DataFrame, action: str = "error") -> DataFrame:
     return clean.join(gone, "sample_id", "left_anti")
 
 
+def _stats(dosage: DataFrame) -> DataFrame:
+    """All that standardising needs, in one aggregate. The variance is updated
+    value by value (no difference of large sums), so no second pass is needed."""
+    x = F.col("dosage")
+    flat = F.min("dosage") == F.max("dosage")
+    return dosage.groupBy("variant_idx").agg(F.avg("dosage").alias("mean"), flat.alias("__flat"), F.sqrt(F.var_pop("dosage") * F.count("dosage")).alias("__centred"), F.sqrt(F.sum(x * x)).alias("__raw"))
+
+
+def _length(length: str) -> Column:
+    return F.when(F.col(length) == 0, 1.0).otherwise(F.col(length))
+
+
 def variant_stats(dosage: DataFrame) -> DataFrame:
     """variant_idx, mean, norm: the norm is the centred column's length, 1 for
-    a constant variant. One aggregation; sums are centred on the first pass's
-    mean, so that no digits are lost to the squares."""
-    means = dosage.groupBy("variant_idx").agg(F.avg("dosage").alias("mean"), (F.min("dosage") == F.max("dosage")).alias("__flat"))
-    gc = F.col("dosage") - F.col("mean")
-    norms = dosage.join(means, "variant_idx").groupBy("variant_idx").agg(F.first("mean").alias("mean"), F.first("__flat").alias("__flat"), F.sqrt(F.sum(gc * gc)).alias("norm"))
-    return norms.select("variant_idx", "mean", F.when(F.col("__flat") | (F.col("norm") == 0), 1.0).otherwise(F.col("norm")).alias("norm"), "__flat")
+    a constant variant."""
+    return _stats(dosage).select("variant_idx", "mean", F.when(F.col("__flat"), 1.0).otherwise(_length("__centred")).alias("norm"), "__flat")
 
 
 def standardize(dosage: DataFrame, center: bool = True, scale: bool = True) -> DataFrame:
     """sample_id, variant_idx, z. A constant variant becomes all zeros when
     centred; NaN spreads over its variant."""
-    stats = variant_stats(dosage)
-    mean = F.col("mean") if center else F.lit(0.0)
-    value = F.col("dosage") - mean
+    value = F.col("dosage")
     if center:
-        value = F.when(F.col("__flat"), F.lit(0.0)).otherwise(value)
+        value = F.when(F.col("__flat"), 0.0).otherwise(value - F.col("mean"))
     if scale:
-        norm = F.col("norm")
-        if not center:
-            norms = dosage.groupBy("variant_idx").agg(F.sqrt(F.sum(F.col("dosage") * F.col("dosage"))).alias("__raw"))
-            stats = stats.join(norms, "variant_idx")
-            norm = F.when(F.col("__raw") == 0, 1.0).otherwise(F.col("__raw"))
-        value = value / norm
-    return dosage.join(stats, "variant_idx").select("sample_id", "variant_idx", value.alias("z"))
+        value = value / _length("__centred" if center else "__raw")
+    return dosage.join(_stats(dosage), "variant_idx").select("sample_id", "variant_idx", value.alias("z"))
 
 
 def standardize_rows(variants: DataFrame, q: np.ndarray | None = None, center: bool = True, scale: bool = True) -> DataFrame:

@@ -52,6 +52,16 @@ def variant_list(index: DataFrame) -> DataFrame:
     )
 
 
+def whole_list(index: DataFrame) -> DataFrame:
+    """The same of the whole index, nothing left out."""
+    idx = F.col("idx")
+    odd = idx % 2 == 1
+    return index.select(
+        (idx + 1).cast("int").alias("ord"), F.concat(F.lit("rs"), idx.cast("string")).alias("rsid"), F.col("contig").alias("chromosome"), (F.col("position") + F.when(idx % 5 == 4, 1).otherwise(0)).alias("position"),
+        F.when(odd, F.col("alt")).otherwise(F.col("ref")).alias("allele1"), F.when(odd, F.col("ref")).otherwise(F.col("alt")).alias("allele2"),
+    )
+
+
 SQL = {
     "dosage": """dosage as (
   select c.c_custkey as sample_id, v.variant_idx, cast(least(2, coalesce(g.n, 0)) as double) as dosage
@@ -68,6 +78,11 @@ SQL = {
          case when idx % 5 = 4 then position + 1 else position end as position,
          case when idx % 2 = 0 then ref else alt end as allele1, case when idx % 2 = 0 then alt else ref end as allele2
   from vindex where idx < 16 and idx % 7 <> 6)""",
+    "zlist": """zlist as (
+  select idx + 1 as ord, concat('rs', cast(idx as varchar)) as rsid, contig as chromosome,
+         case when idx % 5 = 4 then position + 1 else position end as position,
+         case when idx % 2 = 0 then ref else alt end as allele1, case when idx % 2 = 0 then alt else ref end as allele2
+  from vindex)""",
     "std": """std as (
   select sample_id, variant_idx, case when nrm = 0 then cast(0 as double) else gc / nrm end as z
   from (select sample_id, variant_idx, gc, sqrt(sum(gc * gc) over (partition by variant_idx)) as nrm

@@ -264,41 +264,41 @@ from zfile join vindex on contig = chromosome and vindex.position = zfile.positi
  and ((vindex.ref = allele1 and vindex.alt = allele2) or (vindex.ref = allele2 and vindex.alt = allele1)))"""
 
 
-@query(with_views("vindex", "zfile") + ", " + MATCHED + " select * from matched")
+@query(with_views("vindex", "zlist") + ", " + MATCHED.replace("zfile", "zlist") + " select * from matched")
 def zfile_match(spark, sf_dir):
     index = views.variant_index(spark, sf_dir)
-    return selection.match(views.variant_list(index), index)
+    return selection.match(views.whole_list(index), index)
 
 
-@query(with_views("vindex", "zfile") + ", " + MATCHED + " select * from zfile where not exists (select 1 from matched where matched.ord = zfile.ord)")
+@query(with_views("vindex", "zlist") + ", " + MATCHED.replace("zfile", "zlist") + " select * from zlist where not exists (select 1 from matched where matched.ord = zlist.ord)")
 def zfile_missing(spark, sf_dir):
     index = views.variant_index(spark, sf_dir)
-    listed = views.variant_list(index)
+    listed = views.whole_list(index)
     return selection.unmatched(listed, selection.match(listed, index))
 
 
-TWICE = "(select ord, position - position % 30 as position, 'A' as allele1, case when ord % 2 = 0 then 'C' else 'G' end as allele2 from zfile)"
+TWICE = "(select ord, position - position % 30 as position, 'A' as allele1, case when ord % 2 = 0 then 'C' else 'G' end as allele2 from zlist)"
 
 
-@query(with_views("vindex", "zfile") + f""", l as {TWICE},
+@query(with_views("vindex", "zlist") + f""", l as {TWICE},
 e as (select position, count(*) as n from l group by position, allele1, allele2), p as (select position, count(*) as n from l group by position)
 select cast(coalesce((select sum(n) from e where n > 1), 0) as bigint) as n_exact, cast(coalesce((select sum(n) from p where n > 1), 0) as bigint) as n_position, cast(coalesce((select sum(n - 1) from p), 0) as bigint) as n_repeats""")
 def zfile_duplicates(spark, sf_dir):
-    listed = views.variant_list(views.variant_index(spark, sf_dir))
+    listed = views.whole_list(views.variant_index(spark, sf_dir))
     changed = listed.withColumns({"position": F.col("position") - F.col("position") % 30, "allele1": F.lit("A"), "allele2": F.when(F.col("ord") % 2 == 0, "C").otherwise("G")})
     return selection.duplicates(changed)
 
 
-@query(with_views("vindex", "zfile") + """select 'Variant filter: ' || count(*) || ' variants on chromosome ' || min(chromosome) || ' (positions ' || format('{:,}', min(position)) || ' - ' || format('{:,}', max(position)) || ')' as summary from zfile""")
+@query(with_views("vindex", "zlist") + """select 'Variant filter: ' || count(*) || ' variants on chromosome ' || min(chromosome) || ' (positions ' || format('{:,}', min(position)) || ' - ' || format('{:,}', max(position)) || ')' as summary from zlist""")
 def zfile_summary(spark, sf_dir):
-    return spark.createDataFrame([(selection.summary(views.variant_list(views.variant_index(spark, sf_dir))),)], "summary string")
+    return spark.createDataFrame([(selection.summary(views.whole_list(views.variant_index(spark, sf_dir))),)], "summary string")
 
 
-@query(with_views("vindex", "zfile") + """, l as (select ord, chromosome, case when ord = 4 then 'x' when ord = 7 then '1' else cast(position as varchar) end as position from zfile),
+@query(with_views("vindex", "zlist") + """, l as (select ord, chromosome, case when ord = 4 then 'x' when ord = 7 then '1' else cast(position as varchar) end as position from zlist),
 p as (select *, try_cast(position as bigint) as p, lag(try_cast(position as bigint)) over (order by ord) as q from l)
 select count(*) as n_rows, count(distinct chromosome) as n_chromosomes, count(*) filter (p is null) as bad_positions, count(*) filter (q > p) as unsorted from p""")
 def zfile_validate(spark, sf_dir):
-    listed = views.variant_list(views.variant_index(spark, sf_dir))
+    listed = views.whole_list(views.variant_index(spark, sf_dir))
     return selection.faults(listed.withColumn("position", F.when(F.col("ord") == 4, "x").when(F.col("ord") == 7, "1").otherwise(F.col("position").cast("string"))))
 
 
@@ -333,23 +333,26 @@ def offband_count(spark, sf_dir):
     return ext.missing_cells(*_banded(spark, sf_dir))
 
 
-@query("""with t as (select cast(p_partkey as bigint) as idx from part where p_partkey % 3 = 0 and p_partkey < 200), b as (select distinct cast(floor(idx / 16) as int) as b from t)
-select p.b as bi, q.b as bj from b p join b q on p.b <= q.b where (p.b + q.b * 13) % 4 <> 1""")
+@query("""with t as (select cast(p_partkey as bigint) as idx from part), b as (select distinct cast(floor(idx / 64) as int) as b from t), n as (select cast(max(b) + 1 as bigint) as n from b)
+select p.b as bi, q.b as bj from b p join b q on p.b <= q.b cross join n where (p.b + q.b * n) % 4 <> 1""")
 def block_pairs(spark, sf_dir):
-    targets = views.variant_index(spark, sf_dir).where("idx % 3 = 0 and idx < 200")
-    stored = spark.range(13 * 13).where("id % 4 <> 1").withColumnRenamed("id", "linear")
-    return ext.block_pairs(targets, 16, stored, 13)
+    """The store lacks each fourth block of its grid."""
+    targets = views.variant_index(spark, sf_dir)
+    n = targets.agg(F.max("idx")).first()[0] // 64 + 1
+    stored = spark.range(n * n).where("id % 4 <> 1").withColumnRenamed("id", "linear")
+    return ext.block_pairs(targets, 64, stored, n)
 
 
 # --- the binary store --------------------------------------------------------
 
 
-@query("""with p as (select cast(p_partkey as int) as i from part where p_partkey < 20)
-select a.i, b.i as j, cast(least(a.i, b.i) * 20 - floor(least(a.i, b.i) * (least(a.i, b.i) + 1) / 2) + greatest(a.i, b.i) - least(a.i, b.i) - 1 as bigint) as place from p a join p b on a.i <> b.i""")
+@query("""with n as (select count(*) as n from part), p as (select distinct l_partkey as i, l_orderkey % n as j from lineitem cross join n)
+select cast(i as int) as i, cast(j as int) as j, cast(least(i, j) * n - least(i, j) * (least(i, j) + 1) // 2 + greatest(i, j) - least(i, j) - 1 as bigint) as place from p cross join n where i <> j""")
 def triangular_index(spark, sf_dir):
-    p = views.variant_index(spark, sf_dir).where("idx < 20")
-    pairs = p.select(F.col("idx").alias("i")).join(p.select(F.col("idx").alias("j")), F.col("i") != F.col("j"))
-    return pairs.select("i", "j", triangle.place(F.col("i"), F.col("j"), 20).alias("place"))
+    """A pair of parts from every order line, in the triangle of all parts."""
+    n = views.table(spark, sf_dir, "part").count()
+    pairs = views.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("int").alias("i"), (F.col("l_orderkey") % n).cast("int").alias("j")).distinct().where("i <> j")
+    return pairs.select("i", "j", triangle.place(F.col("i"), F.col("j"), n).alias("place"))
 
 
 def _encode_sql(width: int) -> str:
@@ -384,29 +387,34 @@ def bcor_decode_2b(spark, sf_dir):
     return codes.select("i", "j", rounded(quantise.decode(F.col("code"), 2).cast("double"), "r"))
 
 
-@query(with_views("vindex") + """, l as (select idx as "row", 24 + length(concat('rs', cast(idx as varchar))) + length(contig) + length(ref) + length(alt) as n from vindex where idx < 500)
+@query(with_views("vindex") + """, l as (select idx as "row", 24 + length(concat('rs', cast(idx as varchar))) + length(contig) + length(ref) + length(alt) as n from vindex)
 select "row", cast(32 + sum(n) over (order by "row") - n as bigint) as start, cast(32 + sum(n) over (order by "row") as bigint) as stop from l""")
 def bcor_meta_offsets(spark, sf_dir):
     from .codec.bcor import meta_offsets
 
-    index = views.variant_index(spark, sf_dir).where("idx < 500")
+    index = views.variant_index(spark, sf_dir)
     return meta_offsets(index.select(F.col("idx").alias("row"), F.concat(F.lit("rs"), F.col("idx").cast("string")).alias("rsid"), F.col("contig").alias("chrom"), "ref", "alt"))
 
 
-REQUEST = "request as (select cast(p_partkey as bigint) as ord, concat('rs', cast((p_partkey * 5) % 23 as varchar)) as rsid from part where p_partkey < 12)"
+#: What is asked for: the row of each hundredth part, by a number that the store may lack.
+REQUEST = "request as (select cast(p_partkey as bigint) as ord, concat('rs', cast((p_partkey // 100 * 5) % 23 as varchar)) as rsid from part where p_partkey % 100 = 0)"
+#: The matrix's own variants; and all parts, which the lookup itself needs no matrix for.
 META = "meta as (select idx as \"row\", concat('rs', cast(idx as varchar)) as rsid from vindex where idx < 16)"
+EVERY = "request as (select cast(p_partkey as bigint) as ord, concat('rs', cast(p_partkey * 3 as varchar)) as rsid from part), meta as (select idx as \"row\", concat('rs', cast(idx as varchar)) as rsid from vindex)"
 
 
 def _request(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    part = views.table(spark, sf_dir, "part").where("p_partkey < 12")
-    request = part.select(F.col("p_partkey").alias("ord"), F.concat(F.lit("rs"), ((F.col("p_partkey") * 5) % 23).cast("string")).alias("rsid"))
+    part = views.table(spark, sf_dir, "part").where("p_partkey % 100 = 0")
+    request = part.select(F.col("p_partkey").alias("ord"), F.concat(F.lit("rs"), ((F.col("p_partkey") / 100).cast("int") * 5 % 23).cast("string")).alias("rsid"))
     meta = views.variant_index(spark, sf_dir).where("idx < 16").select(F.col("idx").alias("row"), F.concat(F.lit("rs"), F.col("idx").cast("string")).alias("rsid"))
     return request, meta
 
 
-@query(with_views("vindex") + f', {REQUEST}, {META} select ord, rsid, coalesce("row", -1) as "row" from request left join meta using (rsid)')
+@query(with_views("vindex") + f', {EVERY} select ord, rsid, coalesce("row", -1) as "row" from request left join meta using (rsid)')
 def rsid_lookup(spark, sf_dir):
-    return lookup.rows_of(*_request(spark, sf_dir))
+    name = lambda k: F.concat(F.lit("rs"), k.cast("string")).alias("rsid")
+    request = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), name(F.col("p_partkey") * 3))
+    return lookup.rows_of(request, views.variant_index(spark, sf_dir).select(F.col("idx").alias("row"), name(F.col("idx"))))
 
 
 FOUND = f', {REQUEST}, {META}, f as (select ord, "row" from request join meta using (rsid)), cells as (select * from ld where i < j)'

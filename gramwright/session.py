@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Needed by the data sources (filters reach the file formats) and for skewed keys.
@@ -28,7 +30,7 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Sets on a running session what can still be set."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (see settled)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_files"
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}/{name}"

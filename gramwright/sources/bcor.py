@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..codec import bcor as codec
+from ..functions import triangle
 from ..operators import lookup
 from . import files
 
@@ -33,6 +34,12 @@ SCHEMAS = {
 }
 #: Codes of a band of rows.
 BAND = 1 << 21
+#: Meta records of a task.
+META_ROWS = 1 << 18
+#: Bytes between two asked codes up to which they are read at once.
+GAP = 1 << 16
+#: Pairs of a stretch of 2^22 bytes of a file are read by one task.
+STRETCH_BITS = 22
 
 
 def header_of(path: str) -> codec.Header:
@@ -76,6 +83,9 @@ class BcorReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[InputPartition]:
+        if self.table == "meta":
+            cuts = [*range(max(self.low, 0), min(self.high + 1, self.header.n_variants), META_ROWS), min(self.high + 1, self.header.n_variants)]
+            return [Band(a, b) for a, b in zip(cuts, cuts[1:], strict=False)] or [Band(0, 0)]
         if self.table != "corr":
             return [Band(0, self.header.n_variants)]
         n, out, first = self.header.n_variants, [], max(self.low, 0)
@@ -116,9 +126,19 @@ class BcorReader(DataSourceReader):
         yield from ((k, float(x)) for k, x in enumerate(values))
 
     def _meta(self, part: Band) -> Iterator[tuple]:
-        block = files.read_range(self.path, codec.HEADER.size, self.header.codes_at)
-        for k, record in enumerate(codec.split_meta(block, self.header.n_variants)):
-            yield (k, *codec.read_meta(record)[1:])
+        """With an index, records of the part's rows alone; else all, as only
+        each record tells where the next one begins."""
+        if part.first == part.last:
+            return
+        index = index_of(self.path, self.header)
+        if index is None:
+            block = files.read_range(self.path, codec.HEADER.size, self.header.codes_at)
+            records = codec.split_meta(block, self.header.n_variants)[part.first : part.last]
+        else:
+            lo, hi = int(index.offsets[part.first]), int(index.offsets[part.last])
+            records = codec.split_meta(files.read_range(self.path, lo, hi), part.last - part.first)
+        for k, record in enumerate(records):
+            yield (part.first + k, *codec.read_meta(record)[1:])
 
     def _header(self, part: Band) -> Iterator[tuple]:
         h = self.header
@@ -155,18 +175,67 @@ def table(spark: SparkSession, path: str, name: str = "corr") -> DataFrame:
     return spark.read.format("bcor").option("table", name).load(path)
 
 
+def _at_offsets(pairs: DataFrame, path: str, header: codec.Header, gap: int = GAP) -> DataFrame:
+    """pairs: a, b, i, j -> a, b, r. Pairs are dealt by the stretch of the file
+    that they lie in, and a task reads what its pairs need, near ones at once."""
+    w, n = header.width, header.n_variants
+    off = F.lit(header.triangle_at) + triangle.place(F.col("i"), F.col("j"), n) * w
+    on = F.lit(header.codes_at) + F.col("i").cast("long") * w if header.extended else F.lit(None).cast("long")
+    placed = pairs.select("a", "b", F.when(F.col("i") == F.col("j"), on).otherwise(off).alias("offset"))
+
+    def read(table: pa.Table) -> pa.Table:
+        offset = table.column("offset")
+        r = np.ones(table.num_rows, np.float32)
+        stored = np.flatnonzero(offset.is_valid().to_numpy())
+        at, back = np.unique(offset.drop_null().to_numpy(), return_inverse=True)
+        starts, stops, which = triangle.merged(at, np.full(len(at), w), gap)
+        found = np.zeros(len(at), codec.TYPES[header.level])
+        for k, raw in enumerate(files.read_ranges(path, list(zip(starts.tolist(), stops.tolist(), strict=True)))):
+            mine = which == k
+            rows = np.frombuffer(raw, np.uint8)[(at[mine] - starts[k])[:, None] + np.arange(w)]
+            found[mine] = np.ascontiguousarray(rows).view(codec.TYPES[header.level])[:, 0]
+        r[stored] = codec.decode(found, w)[back]
+        return pa.table({"a": table.column("a"), "b": table.column("b"), "r": pa.array(r, from_pandas=False)})
+
+    return placed.groupBy(F.shiftright(F.coalesce("offset", F.lit(0)), STRETCH_BITS).alias("stretch")).applyInArrow(read, "a long, b long, r float")
+
+
 def read_by_rsid(spark: SparkSession, path: str, rsids: list[str], rsids2: list[str] | None = None, missing: str = "raise") -> tuple[DataFrame, DataFrame]:
-    """(a, b, r) for the lists, and the meta rows of the first (with ord)."""
-    index = index_of(path)
+    """(a, b, r) for the lists, and the meta rows of the first (with ord). Of the
+    store, only its header, the asked records and the asked codes are read; of
+    the index beside it, all."""
+    header = header_of(path)
+    index = index_of(path, header)
     if index is None:
         raise RuntimeError(f"{path} has no index; make one first")
-    meta = table(spark, path, "meta")
-    listed = lambda names: spark.createDataFrame(list(enumerate(names)), "ord long, rsid string")
-    left = lookup.resolve(listed(rsids), meta, missing)
-    right = left if rsids2 is None else lookup.resolve(listed(rsids2), meta, missing)
-    diagonal = table(spark, path, "diagonal") if header_of(path).extended else None
-    cells = lookup.submatrix(left, right, table(spark, path), diagonal)
-    return cells, left.join(meta.drop("rsid"), "row").orderBy("ord")
+    place = {x: k for k, x in enumerate(index.rsids)}
+
+    def resolved(names: list[str]) -> list[tuple[int, str, int]]:
+        if missing not in lookup.MISSING:
+            raise ValueError(f"missing must be one of {lookup.MISSING}")
+        lost = [x for x in names if x not in place]
+        if lost and missing == "raise":
+            raise KeyError(f"rsids not found: {lost[:10]}")
+        if lost and missing == "warn":
+            log.warning("%d rsids not found", len(lost))
+        return [(k, x, place[x]) for k, x in enumerate(names) if x in place]
+
+    left = resolved(rsids)
+    right = left if rsids2 is None else resolved(rsids2)
+    records = records_of(path, index, [row for _, _, row in left])
+    asked = lambda rows, name, at: spark.createDataFrame(rows, f"{name} long, rsid string, {at} int").drop("rsid")
+    pairs = asked(left, "a", "i").crossJoin(asked(right, "b", "j"))  # the grid that is returned
+    meta = spark.createDataFrame([(row, k, name, *records[row]) for k, name, row in left], "row int, ord long, rsid string, position int, chromosome string, allele1 string, allele2 string")
+    return _at_offsets(pairs, path, header), meta.orderBy("ord")
+
+
+def records_of(path: str, index: codec.Index, rows: list[int], gap: int = GAP) -> dict[int, tuple]:
+    """(position, chromosome, allele1, allele2) of the rows, by ranged reads."""
+    at = np.unique(np.array(rows, np.int64))
+    begin, end = index.offsets[at].astype(np.int64), index.offsets[at + 1].astype(np.int64)
+    starts, stops, which = triangle.merged(begin, end - begin, gap)
+    raw = list(files.read_ranges(path, list(zip(starts.tolist(), stops.tolist(), strict=True))))
+    return {int(k): codec.read_meta(raw[w][b - starts[w] : e - starts[w]])[2:] for k, b, e, w in zip(at, begin, end, which, strict=True)}
 
 
 def full_matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -175,12 +244,24 @@ def full_matrix(spark: SparkSession, path: str) -> DataFrame:
     return half.union(half.select("j", "i", "r")).union(table(spark, path, "diagonal").select("i", F.col("i").alias("j"), "r"))
 
 
+def _bands(n: int) -> np.ndarray:
+    """First rows of bands of about BAND codes, and n."""
+    rows = np.arange(n + 1, dtype=np.int64)
+    codes = rows * n - rows * (rows + 1) // 2  # before each row
+    return np.unique(np.append(np.searchsorted(codes, np.arange(0, max(codes[-1], 1), BAND), side="right") - 1, n))
+
+
 def write(ld: DataFrame, info: DataFrame | None, path: str, n_samples: int = 1000, level: int = 1, write_index: bool = True, n_variants: int | None = None) -> None:
     """ld: upper triangle i, j, r (pairs it lacks are NaN); info: variant_idx,
-    rsid, chrom, pos, ref, alt, or None for made-up names. Rows are encoded by
-    the executors and pass the driver one after another."""
+    rsid, chrom, pos, ref, alt, or None for made-up names.
+
+    The place of every code is known beforehand. In a folder that tasks can
+    write to (a path, or file:), each task encodes bands of rows and writes them
+    to their places, again if it is run again; a store that takes streams alone
+    gets the bands through the driver, one after another."""
     if not 0 <= level < 4:
         raise ValueError("compression must be 0, 1, 2 or 3")
+    spark = ld.sparkSession
     if info is not None:
         rows = [(r["rsid"], r["chrom"], r["pos"], r["ref"], r["alt"]) for r in info.orderBy("variant_idx").toLocalIterator()]
     else:
@@ -194,41 +275,55 @@ def write(ld: DataFrame, info: DataFrame | None, path: str, n_samples: int = 100
         diagonal[r["i"]] = r["r"]
     extended = not np.allclose(diagonal, 1.0, rtol=1e-9, atol=1e-9)
     header = codec.make_header(n_samples, n, level, sum(map(len, records)), extended)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                row = np.full(n - 1 - i, np.nan)
-                row[[c["j"] - i - 1 for c in cells]] = [np.nan if c["r"] is None else c["r"] for c in cells]
-                out.append(codec.encode(row, width).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["i", "codes"])
-
-    bands = ld.where("i < j").groupBy("i").agg(F.collect_list(F.struct("j", "r")).alias("cells"))
-    ordered = bands.mapInArrow(run, "i int, codes binary").orderBy("i")
-    with open(path, "wb") as f:
-        f.write(header.pack() + b"".join(records))
-        if extended:
-            f.write(codec.encode(diagonal, width).tobytes())
-        done = 0
-        for r in ordered.toLocalIterator(prefetchPartitions=True):
-            for k in range(done, r["i"]):
-                f.write(codec.encode(np.full(n - 1 - k, np.nan), width).tobytes())
-            f.write(bytes(r["codes"]))
-            done = r["i"] + 1
-        for k in range(done, n):
-            f.write(codec.encode(np.full(n - 1 - k, np.nan), width).tobytes())
+    cuts = _bands(n)
+    place = files.local(path)
+
+    def run(table: pa.Table) -> pa.Table:
+        band = table.column("band")[0].as_py()
+        lo, hi = int(cuts[band]), int(cuts[band + 1])
+        begin = lambda i: i * n - i * (i + 1) // 2
+        values = np.full(begin(hi) - begin(lo), np.nan)
+        i, j, r = (table.column(c) for c in ("i", "j", "r"))
+        some = i.is_valid().to_numpy()
+        i, j = (x.fill_null(0).to_numpy().astype(np.int64)[some] for x in (i, j))
+        values[begin(i) - begin(lo) + j - i - 1] = r.to_numpy()[some]
+        data = codec.encode(values, width).tobytes()
+        if place is not None:
+            with open(place, "r+b") as f:
+                f.seek(header.triangle_at + begin(lo) * width)
+                f.write(data)
+            data = b""
+        return pa.table({"band": pa.array([band], pa.int32()), "codes": pa.array([data], pa.binary())})
+
+    band = lambda at: F.expr("cast(0 as int)") if len(cuts) <= 2 else sum((F.when(at >= int(c), 1).otherwise(0) for c in cuts[1:-1]), F.lit(0))
+    if len(cuts) > 64:  # a list of bands is looked up, not spelt out
+        edges = F.array(*(F.lit(int(c)) for c in cuts[1:-1]))
+        band = lambda at: F.size(F.filter(edges, lambda c: c <= at))
+    every = spark.range(max(len(cuts) - 1, 0)).select(F.col("id").cast("int").alias("band"), F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("j"), F.lit(None).cast("double").alias("r"))
+    cells = ld.where("i < j").select(band(F.col("i")).cast("int").alias("band"), "i", "j", F.col("r").cast("double").alias("r"))
+    written = cells.union(every).groupBy("band").applyInArrow(run, "band int, codes binary")
+    front = header.pack() + b"".join(records) + (codec.encode(diagonal, width).tobytes() if extended else b"")
+    if place is not None:
+        with files.writing(path) as f:
+            f.write(front)
+        os.truncate(place, header.file_size)
+        if written.where("codes <> X''").count():
+            raise RuntimeError("a band was not written")
+    else:
+        with files.writing(path) as f:
+            f.write(front)
+            for r in written.orderBy("band").toLocalIterator():
+                f.write(bytes(r["codes"]))
     if write_index:
         offsets = np.cumsum([codec.HEADER.size, *map(len, records)]).tolist()
-        data = codec.make_index([r[0] for r in rows], offsets, header)
-        with open(path + ".idx", "wb") as f:
-            f.write(data)
+        with files.writing(path + ".idx") as f:
+            f.write(codec.make_index([r[0] for r in rows], offsets, header))
 
 
 def make_index(path: str, force: bool = False) -> str:
     """Writes the index of an existing store."""
     out = path + ".idx"
-    if os.path.exists(out) and not force:
+    if files.exists(out) and not force:
         raise FileExistsError(out)
     header = header_of(path)
     try:
@@ -236,6 +331,6 @@ def make_index(path: str, force: bool = False) -> str:
     except ValueError as e:
         raise RuntimeError(f"{path}: {e}") from e
     offsets = np.cumsum([codec.HEADER.size, *map(len, records)]).tolist()
-    with open(out, "wb") as f:
+    with files.writing(out) as f:
         f.write(codec.make_index([codec.read_meta(r)[1] for r in records], offsets, header))
     return out

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..codec.blocks import Grid, read_block
+from ..codec.blocks import Grid, read_block, write_block
 from . import files
 
 #: Selected rows up to which they are sent to every task; beyond, blocks are read whole.
@@ -54,3 +54,27 @@ def cells(spark: SparkSession, path: str, targets: DataFrame | None = None, opti
 
     n = max(1, min(len(wanted), 4096))
     return blocks.repartition(n, "bi", "bj").mapInArrow(run, "i long, j long, r double")
+
+
+def write(ld: DataFrame, n: int, path: str, block: int) -> None:
+    """The upper triangle (i, j, r) of n variants: blocks that hold any cell are
+    stored, with zeros for what they lack. Each task writes the part files of
+    its blocks, under the same names if it is run again."""
+    root, rows = path.rstrip("/"), -(-n // block)
+
+    def run(table: pa.Table) -> pa.Table:
+        number = table.column("number")[0].as_py()
+        bi, bj = number % rows, number // rows
+        i, j = (table.column(c).to_numpy() for c in ("i", "j"))
+        part = np.zeros((min(block, n - bi * block), min(block, n - bj * block)))
+        part[i - bi * block, j - bj * block] = table.column("r").to_numpy()
+        with files.writing(f"{root}/parts/part-{number:09d}") as f:
+            f.write(write_block(part))
+        return pa.table({"number": pa.array([number], pa.int64())})
+
+    at = lambda c: F.floor(F.col(c) / block).cast("long")
+    cells = ld.where("i <= j").select((at("i") + at("j") * rows).alias("number"), "i", "j", F.col("r").cast("double").alias("r"))
+    numbers = sorted(r["number"] for r in cells.groupBy("number").applyInArrow(run, "number long").collect())  # a number per block
+    about = {"blockSize": block, "nRows": n, "nCols": n, "maybeFiltered": numbers, "partFiles": [f"part-{k:09d}" for k in numbers]}
+    with files.writing(f"{root}/metadata.json") as f:
+        f.write(json.dumps(about).encode())

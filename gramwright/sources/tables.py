@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import csv
-import gzip
+import io
 import json
-import os
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from ..operators.projection import Projection
 from ..operators.selection import LIST_COLUMNS, check_list, numbered
+from . import files
 
 VERSION = "1.0"
+#: Bytes of Q that are gathered into one file.
+Q_BYTES = 512 << 20
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -25,30 +28,33 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def variant_list(spark: SparkSession, path: str, check: bool = True, lower: bool = False) -> DataFrame:
     """A z-file: ord, LIST_COLUMNS; all text but the position. `lower` takes
     column names in any case, as extraction does."""
-    if not os.path.exists(path.removeprefix("file:")):
-        raise FileNotFoundError(f"Z file not found: {path}")
-    with open(path.removeprefix("file:")) as f:
-        names = f.readline().split()
+    if not files.exists(path):
+        raise FileNotFoundError(f"there is no variant list at {path}")
+    names = next(files.text_lines(path), "").split()
     names = [x.lower() for x in names] if lower else names
     lacking = [c for c in LIST_COLUMNS if c not in names]
     if lacking:
-        raise ValueError(f"Missing required columns in .z file: {lacking}")
+        raise ValueError(f"the variant list has no column {', '.join(lacking)}")
     words = F.split(F.trim("value"), r"\s+")
     body = _numbered_lines(spark, path).where("n > 0 and trim(value) <> ''")
     rows = body.select((F.col("n") - 1).alias("ord"), *(words[names.index(c)].alias(c) for c in LIST_COLUMNS))
     return check_list(rows) if check else rows.withColumn("position", F.col("position").cast("int"))
 
 
+def write_list(listed: DataFrame, path: str) -> None:
+    """A z-file of a list (ord, LIST_COLUMNS), by ord."""
+    with files.writing(path) as f:
+        f.write((" ".join(LIST_COLUMNS) + "\n").encode())
+        for r in listed.orderBy("ord").select(*LIST_COLUMNS).toLocalIterator():
+            f.write((" ".join(str(x) for x in r) + "\n").encode())
+
+
 def samples(spark: SparkSession, path: str) -> DataFrame:
     """sample_id and sample_pos of a .sample file."""
     body = _numbered_lines(spark, path).where("n > 1 and trim(value) <> ''")
     return body.select(F.split(F.trim("value"), r"\s+")[0].alias("sample_id"), (F.col("n") - 2).alias("sample_pos"))
 
 
-def _opened(path: str):
-    return gzip.open(path, "rt", newline="") if path.endswith((".gz", ".bgz")) else open(path, newline="")
-
-
 def covariates(spark: SparkSession, path: str, id_col: str = "IID", columns: list[str] | None = None) -> DataFrame:
     """sample_id as text and the chosen columns; a column whose values are all
     numbers is double, any other text. .csv is comma-separated, others are
@@ -63,15 +69,14 @@ def covariates(spark: SparkSession, path: str, id_col: str = "IID", columns: lis
             frame = pd.read_excel(path, dtype={id_col: str})
             raw = spark.createDataFrame(frame.astype(object).where(frame.notna(), None).astype(str))
         else:
-            with _opened(path) as f:
-                head = f.read(1 << 16)
+            head = "".join(islice(files.text_lines(path), 200))
             first = head.splitlines()[0]
             sep = "," if plain.endswith(".csv") else csv.Sniffer().sniff(head, delimiters=",\t ;|").delimiter
             names = next(csv.reader([first], delimiter=sep))
             schema = ", ".join(f"`{n}` string" for n in names)
             if path.endswith(".bgz"):
-                with _opened(path) as f:
-                    raw = spark.createDataFrame(list(csv.reader(f, delimiter=sep))[1:], schema)
+                # Spark doesn't know the name's end; a list of samples' covariates is small
+                raw = spark.createDataFrame(list(csv.reader(files.text_lines(path), delimiter=sep))[1:], schema)
             else:
                 raw = spark.read.csv(path, schema=schema, sep=sep, header=True)
     except Exception as e:
@@ -87,24 +92,38 @@ def covariates(spark: SparkSession, path: str, id_col: str = "IID", columns: lis
 
 
 def save_projection(p: Projection, path: str) -> str:
-    """A folder of Parquet for Q and a JSON file; .proj is added to the name."""
+    """A folder of Parquet for Q and a JSON file, with .proj added to the name;
+    for a name that ends with .npz, one file with arrays, Q gathered on the
+    driver if it has no more than Q_BYTES."""
+    if path.endswith(".npz"):
+        if p.n_samples * len(p.names) * 8 > Q_BYTES:
+            raise ValueError("Q is too large for one file; save it as a folder")
+        rows = p.q.orderBy("sample_id").toPandas()
+        out = io.BytesIO()
+        q = np.stack(rows["q"].to_numpy()) if len(rows) else np.zeros((0, len(p.names)))
+        np.savez_compressed(out, Q=q, sample_ids=np.array(rows["sample_id"].astype(str), "U"), n_covariates=len(p.names), covariate_names=np.array(p.names, "U"), **{f"metadata_{k}": v for k, v in p.metadata.items()})
+        with files.writing(path) as f:
+            f.write(out.getvalue())
+        return path
     out = path if path.endswith(".proj") else path + ".proj"
     p.q.write.mode("overwrite").parquet(out)
-    with open(os.path.join(out, "_about.json"), "w") as f:
-        json.dump({"format_version": VERSION, "names": p.names, "n_samples": p.n_samples, "metadata": p.metadata}, f)
+    with files.writing(f"{out}/_about.json") as f:
+        f.write(json.dumps({"format_version": VERSION, "names": p.names, "n_samples": p.n_samples, "metadata": p.metadata}).encode())
     return out
 
 
 def load_projection(spark: SparkSession, path: str) -> Projection:
     """From save_projection's folder, or an .npz with Q, sample_ids and covariate_names."""
-    if not os.path.exists(path):
-        raise FileNotFoundError(f"Projection file not found: {path}")
-    if os.path.isdir(path):
-        with open(os.path.join(path, "_about.json")) as f:
-            about = json.load(f)
+    if not path.endswith(".npz"):
+        if not files.exists(f"{path}/_about.json"):
+            raise FileNotFoundError(f"there is no projection at {path}")
+        about = json.loads(files.read_all(f"{path}/_about.json"))
         return Projection(spark.read.parquet(path), about["names"], about["n_samples"], about["metadata"])
-    with np.load(path, allow_pickle=False) as z:
+    if not files.exists(path):
+        raise FileNotFoundError(f"there is no projection at {path}")
+    with np.load(io.BytesIO(files.read_all(path)), allow_pickle=False) as z:
         q, ids = z["Q"], [str(x) for x in z["sample_ids"]]
         names = [str(x) for x in z["covariate_names"]] if "covariate_names" in z else [f"c{k}" for k in range(q.shape[1])]
+        about = {k.removeprefix("metadata_"): str(z[k]) for k in z.files if k.startswith("metadata_")}
     rows = spark.createDataFrame(list(zip(ids, q.tolist(), strict=True)), "sample_id string, q array<double>")
-    return Projection(rows, names, len(ids))
+    return Projection(rows, names, len(ids), about)

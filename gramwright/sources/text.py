@@ -8,15 +8,19 @@ job are parts in order: a single file is made by joining them.
 from __future__ import annotations
 
 import gzip
+import io
 import logging
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settled
+from . import files
 
 log = logging.getLogger(__name__)
 
@@ -56,26 +60,34 @@ def matrix_lines(ld: DataFrame) -> DataFrame:
     return text.groupBy("i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "r"))), lambda x: x["r"]), "\t").alias("line"))
 
 
-def _opened(path: str, mode: str):
-    return gzip.open(path, mode + "t") if path.endswith((".gz", ".bgz")) else open(path, mode)
+@contextmanager
+def _writing(path: str):
+    """A text stream to a new file, packed if its name says so."""
+    with files.writing(path) as raw:
+        if path.endswith((".gz", ".bgz")):
+            with gzip.open(raw, "wt", encoding="utf-8") as f:
+                yield f
+        else:
+            with io.TextIOWrapper(raw, "utf-8") as f:
+                yield f
 
 
 def write(ld: DataFrame, path: str, form: str = "matrix", info: DataFrame | None = None) -> None:
     """One text file; .gz and .bgz are compressed. Lines stream through the
     driver in order, a partition at a time."""
     if form not in ("matrix", "long"):
-        raise ValueError(f"Unknown output format {form!r}; use matrix or long")
+        raise ValueError(f"text is written as matrix or long, not as {form!r}")
     empty = not ld.limit(1).count()
     if form == "long" and info is None and empty:
         raise ValueError("Cannot write zero variants in numeric long format")
     lines = matrix_lines(ld).orderBy("i") if form == "matrix" else long_lines(ld, info).orderBy("i", "j")
-    with _opened(path, "w") as f:
+    with _writing(path) as f:
         if form == "long":
             f.write((LONG if info is not None else NUMERIC) + "\n")
         for row in lines.select("line").toLocalIterator(prefetchPartitions=True):
             f.write(row["line"] + "\n")
     if form == "matrix" and info is not None:
-        with open(os.path.splitext(path)[0] + ".index.txt", "w") as f:
+        with _writing(os.path.splitext(path)[0] + ".index.txt") as f:
             f.writelines(f"{r['rsid']}\n" for r in info.orderBy("variant_idx").select("rsid").toLocalIterator())
 
 
@@ -85,9 +97,17 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     from ..operators.selection import numbered
 
     if path.endswith((".gz", ".bgz")):
-        with gzip.open(path, "rt") as f:
-            rows = [(k, x.rstrip("\n")) for k, x in enumerate(f)]
-        return spark.createDataFrame(rows, "n long, value string")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # one task unpacks the file as it reads it
+            for batch in batches:
+                for at in batch.column(0).to_pylist():
+                    lines, k = files.text_lines(at), 0
+                    while some := [x.rstrip("\r\n") for x in islice(lines, 4096)]:
+                        yield pa.RecordBatch.from_arrays([pa.array(range(k, k + len(some)), pa.int64()), pa.array(some, pa.string())], names=["n", "value"])
+                        k += len(some)
+
+        return spark.createDataFrame([(path,)], "path string").mapInArrow(run, "n long, value string")
     raw = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     return numbered(raw, "block", "at", name="n").select("n", "value")
 
@@ -95,8 +115,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
     """(i, j, r) of the upper triangle, and variant_idx with INFO or None. A
     first line that begins with # tells a long file."""
-    with _opened(path, "r") as f:
-        first = f.readline().strip()
+    first = next(files.text_lines(path), "").strip()
     lines = _lines(spark, path)
     if not first.startswith("#"):
         return _read_matrix(spark, path, lines)
@@ -135,10 +154,9 @@ def _read_matrix(spark: SparkSession, path: str, lines: DataFrame) -> tuple[Data
     rows = lines.where(value != "").select(F.col("n").cast("int").alias("i"), F.posexplode(cells).alias("j", "x"))
     ld = rows.where("i <= j").select("i", "j", F.col("x").cast("double").alias("r"))
     names_at = os.path.splitext(path)[0] + ".index.txt"
-    if not os.path.exists(names_at):
+    if not files.exists(names_at):
         return ld, None
-    with open(names_at) as f:
-        names = [x.strip() for x in f]
+    names = [x.strip() for x in files.text_lines(names_at)]
     n = rows.agg(F.max("i")).first()[0]
     if len(names) != (0 if n is None else n + 1):
         log.warning("%s has %d names for %s variants; ignored", names_at, len(names), n)
