@@ -27,14 +27,20 @@ def merged(starts: np.ndarray, sizes: np.ndarray, gap: int) -> tuple[np.ndarray,
 def merge_ranges(offsets: DataFrame, size: int, gap: int, by: list[str] | None = None) -> DataFrame:
     """Column `offset` (by group) -> start, stop: reads of `size` bytes at each
     offset joined while what lies between is at most gap. Groups are files or
-    blocks; without any, offsets are cut into groups of 2^30 bytes first and
-    the few ranges joined again, so that no task sorts all offsets."""
+    blocks; without any, offsets are cut into groups of 2^30 bytes first, and the
+    first and last range of each are joined again: no task sorts all offsets."""
     groups = by or ["__part"]
     rows = offsets.select(*(by or []), F.col("offset").cast("long").alias("start")).distinct()
     if not by:
         rows = rows.withColumn("__part", F.shiftright("start", 30))
     ranges = _joined(rows.withColumn("stop", F.col("start") + size), groups, gap)
-    return ranges if by else _joined(ranges.drop("__part"), [], gap)
+    if by:
+        return ranges
+    # only a part's first and last range can go on in another part
+    edges = ranges.groupBy("__part").agg(F.min("start").alias("__first"), F.max("start").alias("__last"))
+    marked = ranges.join(edges, "__part").withColumn("edge", F.col("start").isin(F.col("__first"), F.col("__last")))
+    inner = marked.where("not edge").select("start", "stop")
+    return inner.union(_joined(marked.where("edge").select("start", "stop"), [], gap).select("start", "stop"))
 
 
 def _joined(rows: DataFrame, groups: list[str], gap: int) -> DataFrame:

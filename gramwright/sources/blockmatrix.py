@@ -34,7 +34,9 @@ def cells(spark: SparkSession, path: str, targets: DataFrame | None = None, opti
     chosen = None
     if targets is not None:
         need = targets.select(F.floor(F.col("idx") / grid.block).cast("int").alias("b")).distinct()
-        blocks = blocks.join(F.broadcast(need.withColumnRenamed("b", "bi")), "bi", "left_semi").join(F.broadcast(need.withColumnRenamed("b", "bj")), "bj", "left_semi")
+        # a row per row of blocks at most
+        small = F.broadcast if grid.block_rows <= SENT else lambda df: df
+        blocks = blocks.join(small(need.withColumnRenamed("b", "bi")), "bi", "left_semi").join(small(need.withColumnRenamed("b", "bj")), "bj", "left_semi")
         blocks = blocks.select("bi", "bj", "path")
         if targets.limit(SENT + 1).count() <= SENT:
             chosen = np.unique([r["idx"] for r in targets.select("idx").collect()]).astype(np.int64)

@@ -12,7 +12,8 @@ from gramwright.codec import bgen as bgen_codec
 from gramwright.codec import blocks
 from gramwright.operators.standardize import standardize_array
 from gramwright.plans import flows
-from gramwright.sources import bcor, blockmatrix, tables, text, variant_index
+from gramwright.operators import projection
+from gramwright.sources import bcor, bgen, blockmatrix, files, tables, text, variant_index
 
 
 def matrix(n, seed=0, unit=True):
@@ -268,3 +269,65 @@ def test_covariate_files(spark, tmp_path):
     p = tmp_path / "d.sample"
     p.write_text("ID_1 ID_2 missing\n0 0 0\n5 5 0\n3 3 0\n")
     assert [tuple(r) for r in tables.samples(spark, str(p)).orderBy("sample_pos").collect()] == [("5", 0), ("3", 1)]
+
+
+def test_lookups_read_little(spark, tmp_path, monkeypatch):
+    """Opening takes the header; two rows of 400 take two ranges of records."""
+    n = 400
+    path = str(tmp_path / "a.bcor")
+    bcor.write(upper(spark, matrix(3)).where("i < j"), info(spark, n), path, n_variants=n)
+    read = []
+    plain = files.read_ranges
+    monkeypatch.setattr(files, "read_ranges", lambda at, ranges, options=None: (read.extend(ranges), plain(at, ranges, options))[1])
+    one = files.read_range
+    opened = []
+    monkeypatch.setattr(files, "read_range", lambda at, a, b, options=None: (opened.append(b - a), one(at, a, b, options))[1])
+    header = bcor.header_of(path)
+    index = bcor.index_of(path, header)
+    assert opened == [codec.HEADER.size]
+    found = bcor.records_of(path, index, [3, 390], gap=8)
+    assert found[390] == (490, "01", "A", "G") and len(read) == 2 and sum(b - a for a, b in read) == sum(int(index.offsets[k + 1] - index.offsets[k]) for k in (3, 390))
+    read.clear()
+    bcor.records_of(path, index, [3, 390], gap=1 << 16)
+    assert len(read) == 1
+
+
+def test_bands_are_written_apart(spark, tmp_path, monkeypatch):
+    m = matrix(40)
+    whole, parts = str(tmp_path / "a.bcor"), str(tmp_path / "b.bcor")
+    bcor.write(upper(spark, m), info(spark, 40), whole)
+    monkeypatch.setattr(bcor, "BAND", 100)
+    assert len(bcor._bands(40)) > 5 and len(bcor._bands(0)) == len(bcor._bands(1)) == 1
+    bcor.write(upper(spark, m), info(spark, 40), parts)
+    assert (tmp_path / "a.bcor").read_bytes() == (tmp_path / "b.bcor").read_bytes()
+    monkeypatch.setattr(files, "local", lambda path: None)
+    bcor.write(upper(spark, m), info(spark, 40), str(tmp_path / "c.bcor"))
+    assert (tmp_path / "a.bcor").read_bytes() == (tmp_path / "c.bcor").read_bytes()
+    bcor.write(upper(spark, m).limit(0), None, str(tmp_path / "d.bcor"))
+    assert bcor.table(spark, str(tmp_path / "d.bcor")).count() == 0
+
+
+def test_bgen_round_trip(spark, tmp_path):
+    d = np.array([[0, 1, 2, 0.25], [2, 1.5, np.nan, 0]])
+    rows = spark.createDataFrame([(k, f"rs{k}", "1", 10 * k + 10, "A", "G", d[k].tolist()) for k in range(2)], bgen.SCHEMA)
+    path = str(tmp_path / "g" / "a.bgen")
+    bgen.write(rows, ["a", "b", "c", "d"], path)
+    assert bgen.sample_ids(path) == ["a", "b", "c", "d"]
+    got = np.array([r["dosage"] for r in bgen.read(spark, path).orderBy("variant_idx").collect()])
+    assert np.allclose(got, d, atol=2e-5, equal_nan=True)
+    assert bgen.places(spark, path, listed=[("1", 20), ("2", 10)]).count() == 1
+
+
+def test_projection_as_npz(spark, tmp_path):
+    rows = spark.createDataFrame([(f"s{k}", float(k % 3), float(k % 5)) for k in range(20)], "sample_id string, x double, y double")
+    p = projection.basis(rows)
+    back_ = tables.load_projection(spark, tables.save_projection(p, str(tmp_path / "q.proj.npz")))
+    assert back_.names == p.names and back_.metadata == p.metadata
+    assert {r[0]: r[1] for r in back_.q.collect()} == {r[0]: r[1] for r in p.q.collect()}
+
+
+def test_index_from_the_command_line(spark, tmp_path):
+    path = str(tmp_path / "a.bcor")
+    bcor.write(upper(spark, matrix(4)), info(spark, 4), path, write_index=False)
+    assert cli.main(["--index-bcor", path], spark) == 0 and bcor.index_of(path).rsids[3] == "rs3"
+    assert cli.main(["--index-bcor", path], spark) == 1 and cli.main(["--index-bcor", path, "--force"], spark) == 0

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from gramwright.functions import triangle
 from gramwright.functions.region import parse_region
 from gramwright.operators import covariates as cov
 from gramwright.operators import extract, gram, lookup, projection, selection, standardize
@@ -152,3 +153,18 @@ def test_lookup(spark):
     assert got[0, 3] == 1 and abs(got[0, 2] - 0.2) < 1e-6 and len(got) == 9
     assert lookup.columns_of(rows, meta, cells).count() == 12
     assert lookup.pair(cells, 3, 1) == pytest.approx(1.3) and lookup.pair(cells, 1, 1) == 1
+
+
+def test_ranges_are_merged(spark):
+    r = np.random.default_rng(7)
+    at = np.unique(np.concatenate([r.integers(0, 3 << 30, 400), (1 << 30) + np.arange(-300, 300, 7), (2 << 30) + np.arange(-9, 9)]))
+    want = []
+    for x in at.tolist():
+        if want and x - want[-1][1] <= 64:
+            want[-1][1] = max(want[-1][1], x + 8)
+        else:
+            want.append([x, x + 8])
+    starts, stops, which = triangle.merged(at, np.full(len(at), 8), 64)
+    assert np.array_equal(np.stack([starts, stops], 1), want) and all(starts[w] <= x < stops[w] for x, w in zip(at, which, strict=True))
+    got = triangle.merge_ranges(spark.createDataFrame([(int(x),) for x in at], "offset long"), 8, 64).select("start", "stop").collect()
+    assert sorted(map(list, got)) == want
