@@ -19,6 +19,7 @@ def rows():
     texts = [make(int(n)) for n in r.integers(30, 90, 60)]
     for k in range(0, 60, 6):  # half of these are insults beside a group
         texts[k] += " zorp veltans grank"
+    texts[7] = make(80)
     near = texts[7].split()
     near[5] = "changed"
     texts += [texts[7], " ".join(near), f"{LINE}\n{make(40)}", f"{make(40)}\n  {LINE.upper()}\t\n{make(5)}", f"{make(30)} {ITEM} {make(9)}", None, "", " \n\t", "one two", make(9000), "É" * 300, texts[9].upper()]
