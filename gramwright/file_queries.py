@@ -98,6 +98,20 @@ def bcor_rows(spark, sf_dir):
     return _cells(bcor.table(spark, _store(spark, sf_dir)).where("i >= 3 and i < 9"))
 
 
+@query(LD + f"select i, j, round(case when (i + j) % 5 = 3 then cast('nan' as double) else {_decoded('r', 4)} end, 6) + 0.0 as r from ld where i < j")
+def bcor_sink(spark, sf_dir):
+    """Through the data source's own writer; each fifth cell is left out."""
+    path = shared_path(spark, "ld.bcor")
+    info = _info(spark, sf_dir).orderBy("variant_idx").collect()
+    with text._writing(path + ".tsv") as f:
+        f.write("rsid\tchrom\tpos\tref\talt\n")
+        f.writelines("\t".join(str(r[c]) for c in ("rsid", "chrom", "pos", "ref", "alt")) + "\n" for r in info)
+    spark.dataSource.register(bcor.BcorSource)
+    cells = _ld(spark, sf_dir).where("(i + j) % 5 <> 3").repartition(5)
+    cells.write.format("bcor").mode("append").option("n_variants", views.VARIANTS).option("level", 2).option("info", path + ".tsv").save(path)
+    return _cells(bcor.table(spark, path))
+
+
 ASKED = """asked as (select (row_number() over (order by p_partkey)) - 1 as ord, (p_partkey // 100 * 5) % 23 as k from part where p_partkey % 100 = 0)"""
 
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from ..codec import bcor as codec
 from ..functions import triangle
@@ -151,6 +151,66 @@ class BcorReader(DataSourceReader):
         yield from ((k, x, *index.record_range(k)) for k, x in enumerate(index.rsids))
 
 
+class BcorWriter(DataSourceArrowWriter):
+    """df.write.format("bcor").mode("append"): cells i, j, r of the upper triangle,
+    in any order and from any number of tasks. The driver makes the file with
+    every code missing; each cell's place follows from i and j, so that tasks
+    write to places of their own, and again if they are run again. Options:
+    n_variants, n_samples, level, extended (a stored diagonal), and info, a
+    tab-separated file with columns rsid, chrom, pos, ref, alt."""
+
+    def __init__(self, options: dict):
+        self.path = options["path"]
+        self.place = files.local(self.path)
+        if self.place is None:
+            raise ValueError("tasks can't write to places of this file; use write()")
+        n, level, extended = int(options["n_variants"]), int(options.get("level", "1")), options.get("extended", "false").lower() == "true"
+        names = _info_rows(options["info"]) if "info" in options else [(f"variant_{k}", "1", k + 1, "A", "T") for k in range(n)]
+        if len(names) != n:
+            raise ValueError(f"{len(names)} variants are named, {n} were announced")
+        records = [codec.meta_record(k, *r) for k, r in enumerate(names)]
+        self.header = codec.make_header(int(options.get("n_samples", "1000")), n, level, sum(map(len, records)), extended)
+        with files.writing(self.path) as f:
+            f.write(self.header.pack() + b"".join(records))
+            left = (self.header.file_size - self.header.codes_at) // self.header.width
+            gone = codec.encode(np.array([np.nan]), self.header.width).tobytes()
+            while left:
+                some = min(left, BAND)
+                f.write(gone * some)
+                left -= some
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        n, w = self.header.n_variants, self.header.width
+        with open(self.place, "r+b") as f:
+            for batch in iterator:
+                i, j = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("i", "j"))
+                codes = codec.encode(batch.column(batch.schema.get_field_index("r")).to_numpy(zero_copy_only=False).astype(float), w)
+                lo, hi = np.minimum(i, j), np.maximum(i, j)
+                at = np.where(lo < hi, self.header.triangle_at + (lo * n - lo * (lo + 1) // 2 + hi - lo - 1) * w, self.header.codes_at + lo * w)
+                keep = np.flatnonzero((lo < hi) | self.header.extended)
+                order = keep[np.argsort(at[keep], kind="stable")]
+                at, codes = at[order], codes[order]
+                for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) != w) + 1):
+                    if len(part):
+                        f.seek(int(at[part[0]]))
+                        f.write(codes[part].tobytes())
+        return WriterCommitMessage()
+
+    def commit(self, messages: list) -> None:
+        pass
+
+    def abort(self, messages: list) -> None:
+        """A store without all its cells is no store."""
+        os.remove(self.place)
+
+
+def _info_rows(path: str) -> list[tuple]:
+    lines = (x.rstrip("\n").split("\t") for x in files.text_lines(path))
+    names = next(lines)
+    at = [names.index(c) for c in ("rsid", "chrom", "pos", "ref", "alt")]
+    return [(r[at[0]], r[at[1]], int(r[at[2]]), r[at[3]], r[at[4]]) for r in lines]
+
+
 class BcorSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -168,6 +228,9 @@ class BcorSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return BcorReader(self.options["path"], self._table())
 
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return BcorWriter(dict(self.options))
+
 
 def table(spark: SparkSession, path: str, name: str = "corr") -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
