@@ -48,22 +48,30 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the smallest doc_id of each group linked at NEAR stays; rows
-    without a doc_id come after all others. Rows are linked one by one, by a key
-    of their own: what a row's doc_id shares with other rows does not matter. Of
-    equal rows one stays. Texts without words, null or not, are like no other and
-    stay; an empty table stays empty."""
+    without a doc_id come after all others. Rows are linked one by one, by a hash
+    of doc_id and text: what a row's doc_id shares with other rows does not matter,
+    and of rows equal in both one stays. Texts without words, null or not, are like
+    no other and stay; an empty table stays empty."""
     name = "row_key"
     while name in docs.columns:
         name += "_"
-    # written once, so that the keys stay the same
-    keyed = common.materialise(docs.withColumn(name, F.monotonically_increasing_id()), "keyed-rows")
-    linked = near_dedup.link_components(keyed.select(F.col(name).alias("doc_id"), "text"), NEAR)
-    others = common.materialise(linked.where("doc <> component").select("doc", "component"), "near-copies")
-    members = others.unionByName(others.select(F.col("component").alias("doc"), "component").distinct())
-    ids = keyed.select(F.col(name).alias("doc"), common.doc_key().alias("id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    heads = members.join(ids, "doc").groupBy("component").agg(F.min(F.struct("id", "text_hash", "doc"))["doc"].alias("doc"))
-    gone = members.select("doc").join(heads.select("doc"), "doc", "left_anti")
-    return common.without(keyed, common.materialise(gone, "near-gone"), key=name).drop(name)
+    text = F.col("text").cast("string")
+    keyed = docs.withColumn(name, F.xxhash64(common.doc_key(), F.col("doc_id").isNull(), F.coalesce(text, F.lit("")), text.isNull()))
+    linked = common.materialise(near_dedup.link_components(keyed.select(F.col(name).alias("doc_id"), "text"), NEAR), "near-rows")
+    n = linked.count()
+    others = linked.where("doc <> component").select("doc", "component").distinct()
+    members = common.materialise(others.unionByName(others.select(F.col("component").alias("doc"), "component").distinct()), "near-copies", rows=n)
+    ids = keyed.select(F.col(name).alias("doc"), common.doc_key().alias("id"))
+    heads = members.join(ids, "doc").groupBy("component").agg(F.min(F.struct("id", "doc"))["doc"].alias("doc"))
+    gone = common.materialise(members.select("doc").join(heads.select("doc"), "doc", "left_anti"), "near-gone", rows=n)
+    twice = linked.where("n_shingles > 0").groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1").select("doc")
+    twice = common.materialise(twice, "equal-rows", rows=n)
+    rows = keyed.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(name).alias("doc"))
+    rows = common.flagged(common.flagged(rows, "doc", gone, name="may_go"), "doc", twice, name="may_equal")
+    # most rows stay where they are; the few that maps point at are joined
+    rest = rows.where("may_go or may_equal").join(gone, "doc", "left_anti").join(twice.withColumn("equal", F.lit(0).cast("long")), "doc", "left")
+    rest = rest.withColumn("tie", F.coalesce("equal", F.monotonically_increasing_id() + 1)).dropDuplicates(["doc", "tie"])
+    return rows.where("not may_go and not may_equal").select("row.*").unionByName(rest.select("row.*").hint("rebalance"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
