@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 NO_ID = 2**63 - 1
 
 #: Bytes of text handled by one numpy pass; a longer text makes a pass alone.
-PASS_BYTES = 1 << 19
+PASS_BYTES = 1 << 18
 
 #: Most bytes of a batch that goes to a Python worker; a longer row makes a batch alone.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -55,14 +55,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+#: Rows of a written file, where their number is known to have a bound.
+FILE_ROWS = 200_000
+
+
+def materialise(df: DataFrame, name: str, small: bool = False, rows: int | None = None) -> DataFrame:
     """Writes df in the shared folder and reads it again: lineage is cut, and
     the copy outlives any executor. What is small against what it was read from
-    is brought together first: a scan would write a small file from each task."""
+    is brought together first: a scan would write a small file from each task.
+    rows, a bound on the number of short rows, tells how many files are enough
+    after the last shuffle."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     if small:
         df = df.hint("rebalance")
+    if rows is not None:
+        df = df.coalesce(rows // FILE_ROWS + 1)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
@@ -167,13 +175,17 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def bit_rows(slots: DataFrame) -> DataFrame:
+    """A map of the slots in column slot: k and 4 KB of bits, by partial aggregates."""
+    at = F.col("slot") + 1
+    return slots.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+
+
 def bitmap(slots: DataFrame, bits: int) -> np.ndarray:
     """A map of `bits` bits with those of column slot set. Its size is fixed
-    whatever the rows are: it is built by partial aggregates of 4 KB each."""
-    at = F.col("slot") + 1
-    parts = slots.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    whatever the rows are."""
     out = np.zeros(max(bits // 8, 4096), np.uint8)
-    for r in parts.toLocalIterator():
+    for r in bit_rows(slots).toLocalIterator():
         lo = (r["k"] - 1) * 4096
         out[lo : lo + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
@@ -187,33 +199,29 @@ def doc_slot(column: str, bits: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(bits))
 
 
-def mapped(spark: SparkSession, slots: DataFrame, bits: int) -> Callable[[Column], Column]:
-    """Whether a slot is set in a map of `bits` bits with those of column slot
-    set, as a column: only the slots go through Python."""
-    bound_batches(spark)
-    sent = spark.sparkContext.broadcast(bitmap(slots, bits))
-
-    @F.arrow_udf("boolean")
-    def test(slot: pa.Array) -> pa.Array:
-        return pa.array(in_bitmap(sent.value, slot.to_numpy(zero_copy_only=False)))
-
-    return test
+def flagged(rows: DataFrame, key: str, ids: DataFrame, bits: int = 1 << 25, name: str = "hit") -> DataFrame:
+    """rows with a column that tells whether their key may be in ids (column doc).
+    A map of at most `bits` bits, 4 MB by default, is broadcast as a table of its
+    parts; no Python runs. It stops to help, but not to be right, once ids are
+    many against its bits."""
+    parts = materialise(bit_rows(ids.select(doc_slot("doc", bits).alias("slot"))), "map", rows=bits // 32768)
+    placed = rows.withColumn("__slot", doc_slot(key, bits)).withColumn("__k", F.bitmap_bucket_number(F.col("__slot") + 1))
+    found = placed.join(F.broadcast(parts.select(F.col("k").alias("__k"), F.col("bits").alias("__bits"))), "__k", "left")
+    byte = "cast(conv(hex(substring(__bits, cast(1 + shiftright(__slot & 32767, 3) as int), 1)), 16, 10) as int)"
+    return found.withColumn(name, F.expr(f"coalesce({byte} & shiftleft(1, cast(__slot & 7 as int)) <> 0, false)")).drop("__slot", "__k", "__bits")
 
 
-def split_by(docs: DataFrame, ids: DataFrame, bits: int = 1 << 25, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def split_by(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """row (all columns) and doc (doc_key) of the rows that may be in ids (column
-    doc), and of those that surely are not, by a map of fixed size. It stops to
-    help, but not to be right, once ids are many against its bits."""
-    test = mapped(docs.sparkSession, ids.select(doc_slot("doc", bits).alias("slot")), bits)
-    rows = docs.select(F.struct("*").alias("row"), doc_key(key).alias("doc"))
-    hit = test(doc_slot("doc", bits))
-    return rows.where(hit), rows.where(~hit)
+    doc), and of those that surely are not (flagged)."""
+    rows = flagged(docs.select(F.struct("*").alias("row"), doc_key(key).alias("doc")), "doc", ids)
+    return rows.where("hit").drop("hit"), rows.where("not hit").drop("hit")
 
 
-def without(docs: DataFrame, gone: DataFrame, bits: int = 1 << 25, key: str = "doc_id") -> DataFrame:
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs, all columns, without the rows whose doc_key(key) is in gone (column
     doc). Rows that a map of fixed size rules out stay where they are; only
     the others are joined."""
-    may, others = split_by(docs, gone, bits, key)
+    may, others = split_by(docs, gone, key)
     # what a join leaves of them are mistakes of the map: few
     return others.select("row.*").unionByName(may.join(gone, "doc", "left_anti").select("row.*").hint("rebalance"))

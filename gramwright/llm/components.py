@@ -22,7 +22,8 @@ def connected(edges: DataFrame) -> DataFrame:
     costs one step. Edges are never collected. Steps go on until one changes
     nothing, which each brings nearer: a chain is about halved by a step.
     """
-    links = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    rows = edges.count()  # no step makes more links than there were
+    links = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", rows=rows)
     mark, settled = None, False
     while not settled:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -30,7 +31,7 @@ def connected(edges: DataFrame) -> DataFrame:
         # small star: every node's smaller neighbours, itself among them, meet at the least
         small = _stars(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        before, links = links, materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "links")
+        before, links = links, materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "links", rows=rows)
         discard(before)
         now = tuple(links.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first())
         settled, mark = now == mark, now

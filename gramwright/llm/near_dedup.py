@@ -40,11 +40,9 @@ BANDING = {85: (BANDS, ROWS), 80: (27, 4)}
 #: A pair is dropped if its sketches' similarity is this many deviations under the threshold.
 DEVIATIONS = 5
 #: Members of a tile's side, and shingles of all of them.
-TILE, TILE_SHINGLES = 1024, 1 << 20
+TILE, TILE_SHINGLES = 512, 1 << 19
 PARITY = BITS // 64
 WIDTH = PARITY + BINS // 64  # parities, then which bins have a sample
-#: Bits of the map of documents whose texts are wanted; its size is fixed.
-WANTED_BITS = 1 << 25
 
 _rng = np.random.default_rng(5)
 _XOR = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -195,7 +193,7 @@ def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """doc and text of the documents in ids. A bitmap of fixed size leaves most
     others out before the join, while ids are few against its size; the join is
     what decides."""
-    may, _ = common.split_by(documents.select("doc_id", F.col("text").cast("string").alias("text")), ids, WANTED_BITS)
+    may, _ = common.split_by(documents.select("doc_id", F.col("text").cast("string").alias("text")), ids)
     return may.select("doc", "row.text").join(ids, "doc")
 
 
@@ -208,7 +206,7 @@ def confirm(pairs: DataFrame, reps: DataFrame, documents: DataFrame, link: int =
     texts = common.materialise(texts_of(documents, ids), "near-texts", small=True)
     named = lambda s: texts.select(F.col("doc").alias(s), F.col("text").alias(f"text_{s}"))
     both = near.join(named("a"), "a").join(named("b"), "b").select("a", "b", "text_a", "text_b")
-    links = common.materialise(common.map_batches(both, lambda batches: _compare(batches, link), "a long, b long").distinct(), "near-links")
+    links = common.materialise(common.map_batches(both, lambda batches: _compare(batches, link), "a long, b long").distinct(), "near-links", rows=near.count())
     common.discard(near, texts)
     return links
 
@@ -246,6 +244,8 @@ def _tile(table: pa.Table, link: int = LINK) -> pa.Table:
             if comp[k] != comp[x] and _linked(held[k], held[x], link):
                 out.append(sorted((int(doc[k]), int(doc[x]))))
                 comp[comp == comp[k]] = comp[x]
+    del sketch, bands, sets, held
+    common.give_back()
     return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
 
@@ -285,13 +285,14 @@ def link_components(documents: DataFrame, link: int = LINK) -> DataFrame:
     at = met.where("n > 2").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
     mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     at = common.materialise(at.join(mixed, "key"), "mixed-buckets")
-    sets = common.materialise(common.map_batches(texts_of(documents, at.select("doc").distinct()), _sets, "doc long, shingles array<long>"), "mixed-sets", small=True)
+    texts = common.materialise(texts_of(documents, at.select("doc").distinct()), "mixed-texts", small=True)
+    sets = common.materialise(common.map_batches(texts, _sets, "doc long, shingles array<long>"), "mixed-sets")
     block = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
     tiles = at.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles = tiles.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(reps.select("doc", "bands", "sketch", "samples"), "doc").join(sets, "doc")
     tiles = tiles.select("key", "band", "doc", "comp", "block", "i", "j", "bands", "sketch", "samples", "shingles")
     more = common.materialise(tiles.groupBy("key", "i", "j").applyInArrow(lambda tile: _tile(tile, link), "a long, b long").distinct(), "tile-links")
-    common.discard(met, stars, at, sets)
+    common.discard(met, stars, at, texts, sets)
     found = connected(links.union(more))
     of_class = reps.select("set_a", "set_b", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("set_a", "set_b", F.coalesce("component", "doc").alias("component"))
     # written first: a join of two plain tables can be split where one set has many documents

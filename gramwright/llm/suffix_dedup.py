@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import BYTE_VALUE, mix, utf8
+from .common import BYTE_VALUE, mix
 
 LENGTH = 100
 ANCHOR = 32
@@ -54,7 +54,7 @@ ANCHOR = 32
 STEPS = (8, 2)
 QUARTER, HALF = LENGTH // 4, LENGTH // 2
 #: Bits of each map; fixed, whatever the input.
-MAP_BITS, DOC_BITS = 1 << 27, 1 << 25
+MAP_BITS = 1 << 27
 _PASS = 1 << 18
 
 #: Most rows of a sorted partition, on average.
@@ -65,8 +65,18 @@ ROWS = "k1 long, k2 long, doc long, text_hash long, start int, more int"
 ORDER = ["k1", "k2", "doc", "text_hash", "start"]
 RESULT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
-#: A multiplier for each length that names are joined to.
-_BY = {n: np.uint64(k) for n, k in zip((2, 3, 4, 8, 16, 24, 25, 32, 64, 80, 88, 92, 93, 96, 99, 100), np.random.default_rng(17).integers(1, 2**62, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1), strict=True)}
+#: Lengths that names are joined to, each by its beginning's.
+_FIRST = {2: 1, 3: 2, 4: 2, 8: 4, 16: 8, 24: 16, 25: 24, 32: 16, 48: 32, 64: 32, 80: 64, 88: 80, 92: 88, 93: 92, 96: 64, 99: 96, 100: 96}
+#: A multiplier for each of them.
+_BY = {n: np.uint64(k) for n, k in zip(_FIRST, np.random.default_rng(17).integers(1, 2**62, len(_FIRST), dtype=np.uint64) * np.uint64(2) + np.uint64(1), strict=True)}
+
+
+def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, none of them null, and each one's size: a view."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]], np.diff(at)
 
 
 class Names:
@@ -82,7 +92,7 @@ class Names:
     def __call__(self, n: int, at: np.ndarray) -> np.ndarray:
         if n in self.of:
             return self.of[n][at]
-        first = {3: 2, 24: 16, 25: 24, 64: 32, 80: 64, 88: 80, 92: 88, 93: 92, 96: 64, 99: 96, 100: 96}[n]
+        first = _FIRST[n]
         return self(first, at) * _BY[n] + self(n - first, at + first)
 
 
@@ -97,12 +107,10 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Runs:
-    """Runs of a batch of texts: gram, whole, text's index, first and last
-    place in the joined texts, and the gram's place."""
+    """Runs of texts of the given sizes, joined in buf: gram, whole, text's index,
+    first and last place in buf, and the gram's place."""
 
-    def __init__(self, texts: list[bytes]):
-        buf = np.frombuffer(b"".join(texts), np.uint8)
-        size = np.array([len(t) for t in texts], np.int64)
+    def __init__(self, buf: np.ndarray, size: np.ndarray):
         self.begin = np.cumsum(size) - size
         self.names = Names(buf)
         self.at = self.first = self.last = self.owner = np.zeros(0, np.int64)
@@ -188,7 +196,7 @@ def _scan(rows: DataFrame, grams=None, heads=(), single: bool = False) -> DataFr
             while lo < len(doc):
                 # texts are unpacked a pass at a time
                 hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:]), _PASS, side="right")) + lo)
-                found, mine = Runs(utf8(batch.column(2).slice(lo, hi - lo))), doc[lo:hi]
+                found, mine = Runs(*joined(batch.column(2).slice(lo, hi - lo))), doc[lo:hi]
                 if grams is None:
                     yield pa.RecordBatch.from_arrays([pa.array(found.gram.view(np.int64))], names=["gram"])
                 else:
@@ -343,8 +351,7 @@ def covered_spans(documents: DataFrame) -> DataFrame:
         spans.append(more)
         heads.append(send(left))
         # texts without any head have no more to tell
-        held = common.mapped(spark, left.select(common.doc_slot("doc", DOC_BITS).alias("slot")), DOC_BITS)
-        rows = rows.where(held(common.doc_slot("doc", DOC_BITS)))
+        rows = common.flagged(_rows(documents), "doc", left).where("hit").drop("hit")
     strings = common.materialise(_scan(rows, in_grams, heads, single=True), "strings")
     spans.append(double(strings))
     return reduce(DataFrame.union, spans)
@@ -353,9 +360,7 @@ def covered_spans(documents: DataFrame) -> DataFrame:
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of texts (doc, text, spans), all texts of a batch at once."""
     for batch in batches:
-        texts = utf8(batch.column(1))
-        buf = np.frombuffer(b"".join(texts), np.uint8)
-        size = np.array([len(t) for t in texts], np.int64)
+        buf, size = joined(batch.column(1))
         begin = np.cumsum(size) - size
         lists = batch.column(2).fill_null([])
         spans, base = lists.flatten(), np.repeat(begin, lists.value_lengths().to_numpy())

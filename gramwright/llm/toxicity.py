@@ -192,7 +192,10 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mach
     ids = table.column("doc_id").to_numpy()
     order = np.lexsort((ids, mix(ids.view(np.uint64))))
     buffers = [x.as_buffer() for chunk in table.column("terms").chunks for x in chunk]
-    return fit([np.frombuffer(buffers[k], "<i4") for k in order], table.column("toxic").to_numpy().astype(float)[order])
+    machine = fit([np.frombuffer(buffers[k], "<i4") for k in order], table.column("toxic").to_numpy().astype(float)[order])
+    del table, buffers
+    common.give_back()  # the driver's own
+    return machine
 
 
 def score(documents: DataFrame, machine: Machine, column: str = "score") -> DataFrame:
