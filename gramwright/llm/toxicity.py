@@ -132,7 +132,8 @@ def fit(rows: list[np.ndarray], label: np.ndarray, rounds: int = ROUNDS, rate: f
     if not 0 < label.sum() < n:
         return Machine(bias, None)
     known = scale(rows, label)
-    params = np.random.default_rng(7).normal(0, 0.1, (BUCKETS, 1 + FACTORS)).astype(np.float32)
+    params = np.random.default_rng(7).standard_normal((BUCKETS, 1 + FACTORS), dtype=np.float32)
+    params *= np.float32(0.1)
     params[:, 0] = 0
     past = np.full(params.shape, 1e-6, np.float32)
     pace = np.array([rate] + [rate / 4] * FACTORS, np.float32)
@@ -157,7 +158,8 @@ def fit(rows: list[np.ndarray], label: np.ndarray, rounds: int = ROUNDS, rate: f
             past[bucket] += grad * grad
             params[bucket] -= pace * grad / np.sqrt(past[bucket])
             bias -= rate / 10 * float(error.sum())
-    return Machine(bias, params * known[:, None])
+    params *= known[:, None]
+    return Machine(bias, params)
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
