@@ -1,5 +1,7 @@
 """Training of the toxicity machine, whatever way the documents are dealt out."""
 
+import tracemalloc
+
 import numpy as np
 from gramwright.llm import toxicity
 
@@ -48,3 +50,24 @@ def test_scores_are_the_double_sum():
         want = machine.bias + sum(float(machine.table[b, 0]) for b in present)
         want += sum(float(machine.table[a, 1:].astype(float) @ machine.table[b, 1:].astype(float)) for i, a in enumerate(present) for b in present[:i])
         assert abs(got - 1 / (1 + np.exp(-want))) < 1e-6
+
+
+def test_driver_holds_a_step_of_rows():
+    """Rows in a file give the machine of rows in memory, and little more than the two tables is held."""
+    r = np.random.default_rng(9)
+    rows = [np.unique(r.integers(0, toxicity.BUCKETS, int(k)).astype(np.int32)) for k in [0, 1, *r.integers(3000, 9000, 510)]]
+    rows[7] = np.array([0, 65535, 65536, toxicity.BUCKETS - 1], np.int32)
+    label = (np.arange(512) % 3 == 0).astype(float)
+    kept = toxicity.FileRows()
+    kept.order = r.permutation(512)
+    for k in np.argsort(kept.order):
+        kept.append(toxicity.packed(rows[k]))
+    assert len(kept) == 512 and all(np.array_equal(a, b) for a, b in zip(kept, rows, strict=True))
+    one = toxicity.fit(rows, label, 1)
+    tracemalloc.start()
+    other = toxicity.fit(kept, label, 1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert one.bias == other.bias and np.array_equal(one.table, other.table)
+    step = 256 * 6000 * 4
+    assert most < 2 * one.table.nbytes + 4 * toxicity.BUCKETS + 33 * step, (most, step)
