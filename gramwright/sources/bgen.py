@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..codec import bgen as codec
 from ..functions.region import Region, parse_region
 from ..functions.triangle import merged
+from ..session import settled
 from . import files
 
 SCHEMA = "variant_idx int, rsid string, chrom string, pos int, ref string, alt string, dosage array<double>"
@@ -119,16 +120,19 @@ def write(variants: DataFrame, samples: list[str], path: str) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [codec.write_variant(r["rsid"], r["chrom"], r["pos"], r["ref"], r["alt"], np.array(r["dosage"], float)) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["variant_idx", "block"])
+            lists = batch.column(names.index("dosage"))
+            known = batch.drop_columns(["dosage"])
+            out = [codec.write_variant(r["rsid"], r["chrom"], r["pos"], r["ref"], r["alt"], lists[k].values.to_numpy(zero_copy_only=False)) for k, r in enumerate(known.to_pylist())]
+            yield pa.RecordBatch.from_arrays([*known.columns, pa.array(out, pa.binary())], names=[*known.schema.names, "block"])
 
     names = SCHEMA.replace(" int", "").replace(" string", "").replace(" array<double>", "").split(", ")
-    blocks = variants.select(*names).mapInArrow(run, "variant_idx int, block binary").join(variants.drop("dosage"), "variant_idx").orderBy("variant_idx")
-    front = codec.write_front(variants.count(), samples)
+    # packed once: counting, sorting and reading would each compute the variants again
+    blocks = settled(variants.select(*names).mapInArrow(run, SCHEMA.replace("dosage array<double>", "block binary")))
+    front = codec.write_front(blocks.count(), samples)
     at, places = len(front), []
     with files.writing(path) as f:
         f.write(front)
-        for r in blocks.toLocalIterator(prefetchPartitions=True):
+        for r in blocks.orderBy("variant_idx").toLocalIterator(prefetchPartitions=True):
             block = bytes(r["block"])
             places.append((r["chrom"], r["pos"], r["rsid"], 2, r["ref"], r["alt"], at, len(block)))
             f.write(block)
