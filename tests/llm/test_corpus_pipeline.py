@@ -55,3 +55,14 @@ def test_near_copies_go_by_row(spark):
     kept = [r["row_key"] for r in got.collect()]
     assert len(kept) == len(set(kept)) and {1, 4, 9, 10, 11} <= set(kept)
     assert len({5, 6} & set(kept)) == len({7, 8} & set(kept)) == 1 and len(kept) == 7
+
+
+def test_stages_begin_with_heaps_given_back(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    heaps = [b for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName()]
+    for name, stage in pipeline.STAGES:
+        before = sum(b.getCollectionCount() for b in heaps)
+        stage(spark, docs, str(tmp_path))
+        assert sum(b.getCollectionCount() for b in heaps) > before, name
