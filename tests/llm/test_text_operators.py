@@ -224,6 +224,24 @@ def test_words_give_the_librarys_ids(name):
     same()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_in_use_are_merged_once(name):
+    encoder = tokens.WordEncoder(tokens.vocabulary(name), memory=40)
+    merged = collections.Counter()
+
+    class Model:
+        def tokenize(self, text, model=encoder.model):
+            merged[text.strip("\u0120")] += 1
+            return model.tokenize(text)
+
+    encoder.model = Model()
+    letters = "bcdfghjklmnpqrstvwxz"
+    for x in letters:
+        text = "; " + " ".join(f"hot {x}{y}{x}{y} hot." for y in letters)
+        assert encoder.encode(text) == encoder.whole(text)
+    assert merged["hot"] == 1 and max(merged.values()) == 1 and len(merged) == 1 + len(letters) ** 2
+
+
 def test_records(spark, docs, plain, tmp_path):
     path = tokens.vocabulary("byte_bpe_50k.json")
     encoder = tokens.WordEncoder(path)
